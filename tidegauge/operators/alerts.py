@@ -85,7 +85,7 @@ def weekly(
     counts = prf(confusion(stays, thr, "stay_label", "max_prob", by))
     leads = keep(stays.withColumn("lead_hours", hours_between(event, "first_alert_time")), "nonnegative")
     lead = stats(leads, by).select("week", F.col("n").alias("lead_n"), F.col("mean").alias("lead_mean"), F.col("p50").alias("lead_p50"))
-    return counts.join(windows, by, "left").join(lead, by, "left")
+    return counts.join(windows, by, "left").join(lead, by, "left").fillna(0, ["lead_n"])
 
 
 def entity_detail(scored: DataFrame, thr: float, entity: str = "stay_id", ts: str = "index_time") -> tuple[DataFrame, DataFrame]:

@@ -575,7 +575,7 @@ def w6(spark, sf):
     return evaluate.sweep(d.scored(spark, sf))
 
 
-@query("w6_running_total_per_group", sql([], "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM orders", ["running"]))
+@query("w6_running_total_per_group", sql([], "SELECT o_orderkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey ROWS UNBOUNDED PRECEDING) / 100.0 AS running FROM orders", ["running"]))
 def w6_group(spark, sf):
     """Three huge groups, each summed along its order in buckets."""
     o = d.table(spark, sf, "orders").withColumns({"b": value_bucket("o_totalprice"), "cents": F.round(F.col("o_totalprice") * 100).cast("long")})

@@ -447,7 +447,7 @@ WEEKLY = [
 @query(
     "l3_weekly_monitor",
     sql(WEEKLY,
-        f"SELECT c.*, {PRF}, r.auroc, r.ap, l.lead_n, l.lead_mean, l.lead_p50 FROM ({confusion_sql(T, 'wstays', 'stay_label', 'max_prob', 'week')}) c "
+        f"SELECT c.*, {PRF}, r.auroc, r.ap, coalesce(l.lead_n, 0) AS lead_n, l.lead_mean, l.lead_p50 FROM ({confusion_sql(T, 'wstays', 'stay_label', 'max_prob', 'week')}) c "
         f"LEFT JOIN ({rank_sql('weeks', by=['week'])}) r ON c.week = r.week LEFT JOIN wstat l ON c.week = l.week",
         [*RATES, "auroc", "ap", "lead_mean", "lead_p50"], [*COUNTS, "lead_n"]),
 )
