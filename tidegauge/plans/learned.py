@@ -1,3 +1,267 @@
-"""Queries that split, train, calibrate and explain."""
+"""Queries that split, train, calibrate and explain. Forests are small here; sizes are parameters."""
 
 from __future__ import annotations
+
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidegauge.operators import alerts, calibrate, evaluate, features, grid, leadtime, model, quality, split
+from tidegauge.plans import data as d
+from tidegauge.plans.catalog import query, sql
+from tidegauge.session import materialize, new_path
+from tidegauge.sources import writers
+
+SMALL = {"trees": 12, "depth": 5}
+FEATURES = [f"{v}__{w}h__{s}" for v in d.VARIABLES for w in d.WINDOWS for s in ("last", "mean", "count")]
+FEW = [f"{v}__24h__{s}" for v in ("error", "purchase", "view") for s in ("mean", "count")]
+
+
+def trainset(spark, sf, horizon: int = 48, names=FEATURES) -> DataFrame:
+    """Labelled features of one horizon, written once because training reads it many times."""
+    stats = [s for s in features.STATS if any(n.endswith(f"__{s}") for n in names)]
+    wide = features.window_stats(d.grid_points(spark, sf), d.series(spark, sf), d.VARIABLES, d.WINDOWS, stats)
+    labelled = grid.label(wide, "first_event_time", [horizon])
+    return materialize(labelled.select("stay_id", "index_time", "label", "first_event_time", *names), "trainset")
+
+
+def splits(spark, sf, names=FEATURES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = split.by_group(trainset(spark, sf, names=names), "stay_id")
+    return tuple(t.where(F.col("split") == s) for s in ("train", "val", "test"))
+
+
+# -- splits ------------------------------------------------------------------------------------------------
+
+
+@query(
+    "m1_group_split",
+    sql([f"g AS (SELECT o_custkey, row_number() OVER (ORDER BY {d.h60('o_custkey', seed=42)}) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders) x)"],
+        "SELECT o_orderkey, o.o_custkey, CASE WHEN r < ceil(n * 0.15) THEN 'test' WHEN r < ceil(n * 0.3) THEN 'val' ELSE 'train' END AS split FROM orders o JOIN g ON o.o_custkey = g.o_custkey"),
+)
+def m1(spark, sf):
+    """Customers wholly in one split; each row compares its own hash to two cut points."""
+    return split.by_group(d.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query(
+    "m2_stratified_split",
+    sql([d.SCORED,
+         f"r AS (SELECT stay_id, index_time, label, row_number() OVER (PARTITION BY label ORDER BY {d.h60('stay_id', 'epoch_us(index_time)', seed=42)}) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM scored)"],
+        "SELECT stay_id, index_time, label, CASE WHEN r < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r", ints=["label"]),
+)
+def m2(spark, sf):
+    """A fifth of the rows of each class."""
+    s = d.scored(spark, sf).select("stay_id", "index_time", "label", F.unix_micros("index_time").alias("us"))
+    return split.stratified(s, "label", ["stay_id", "us"]).drop("us")
+
+
+@query(
+    "m3_group_folds",
+    sql([f"g AS (SELECT o_custkey, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, {d.h60('o_custkey', seed=42)}) - 1 AS r FROM orders GROUP BY 1)"],
+        "SELECT o_custkey, n_rows, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM g", ints=["n_rows", "fold"]),
+)
+def m3(spark, sf):
+    """Groups dealt to five folds by size, to and fro."""
+    return split.fold_table(d.table(spark, sf, "orders"), "o_custkey", 5)
+
+
+@query("m3_fold_sizes")
+def m3_sizes(spark, sf):
+    """Rows and groups per fold."""
+    f = split.folds(d.scored(spark, sf), "stay_id", 5)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("stay_id").alias("n_groups"))
+
+
+# -- training ----------------------------------------------------------------------------------------------
+
+
+@query("m4_imputer")
+def m4(spark, sf):
+    """Medians of the training part fill all parts."""
+    train, val, test = splits(spark, sf, FEW)
+    fitted = Imputer(strategy="median", inputCols=FEW, outputCols=[f"{c}_f" for c in FEW]).fit(train)
+    both = fitted.transform(train.unionByName(val).unionByName(test))
+    return both.groupBy("split").agg(*[F.avg(f"{c}_f").alias(c) for c in FEW], F.count(F.lit(1)).alias("n"))
+
+
+@query("m5_scaler")
+def m5(spark, sf):
+    """Centred and uncentred scaling by the training part's spread."""
+    train, _, test = splits(spark, sf, FEW)
+    cols = ["error__24h__count", "view__24h__count"]
+    va = VectorAssembler(inputCols=cols, outputCol="x", handleInvalid="skip")
+    out = None
+    for center in (False, True):
+        fitted = StandardScaler(inputCol="x", outputCol="z", withMean=center, withStd=True).fit(va.transform(train))
+        z = fitted.transform(va.transform(train.unionByName(test))).select("split", vector_to_array("z").alias("z"))
+        part = z.groupBy("split").agg(F.avg(F.col("z")[0]).alias("mean_0"), F.stddev_samp(F.col("z")[0]).alias("std_0")).withColumn("centered", F.lit(center))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fit_score(spark, sf):
+    train, val, test = splits(spark, sf)
+    cols = quality.select_columns(train, FEATURES)
+    m = model.train(train, cols, **SMALL)
+    return m, cols, train, val, test
+
+
+@query("m6_forest")
+def m6(spark, sf):
+    """A weighted forest on grouped splits: metrics of each split."""
+    m, cols, train, val, test = _fit_score(spark, sf)
+    scored = model.score(m, train.unionByName(val).unionByName(test), cols, ["split", "label"])
+    return evaluate.evaluate(scored, by=["split"])
+
+
+@query("m6_stratified_baseline")
+def m6_baseline(spark, sf):
+    """The baseline path: rows split by class, median imputation, no scaling, test metrics and the report line."""
+    t = trainset(spark, sf).withColumn("us", F.unix_micros("index_time"))
+    s = split.stratified(t, "label", ["stay_id", "us"])
+    cols = quality.select_columns(t, FEATURES, inclusive=False)
+    m = model.train(s.where(F.col("split") == "train"), cols, scale=False, **SMALL)
+    scored = model.score(m, s.where(F.col("split") == "test"), cols)
+    return evaluate.rank_metrics(scored).withColumn("n_features_used", F.lit(len(cols)))
+
+
+@query("m7_grouped_cv")
+def m7(spark, sf):
+    """Out-of-fold AUROC and AP, mean and spread over folds."""
+    return model.cv(trainset(spark, sf, names=FEW), FEW, 3, trees=6, depth=4)
+
+
+@query("m8_grid_search")
+def m8(spark, sf):
+    """A small grid ranked by a formula over the cross-validated metrics."""
+    grid_ = model.parse_grid("n_estimators=4,8;max_depth=3;max_features=sqrt;class_weight=balanced,none")
+    return model.grid_search(trainset(spark, sf, names=FEW), FEW, grid_, 2)
+
+
+@query("m9_ablation")
+def m9(spark, sf):
+    """All features, without each group, and each group alone."""
+    groups = {"errors": "^error", "purchases": "^purchase"}
+    return model.display_order(model.ablate(trainset(spark, sf, names=FEW), FEW, groups, 2, trees=4, depth=3))
+
+
+@query("m10_impurity_importance")
+def m10(spark, sf):
+    m, _, *_ = _fit_score(spark, sf)
+    return model.impurity_importance(m, spark)
+
+
+@query("m11_permutation_importance")
+def m11(spark, sf):
+    """Drop of average precision when a feature is permuted, all features and repeats in one scoring pass."""
+    train, _, test = splits(spark, sf, FEW)
+    m = model.train(train, FEW, **SMALL)
+    return model.permutation_importance(m, test, FEW, repeats=2)
+
+
+@query("m12_attributions")
+def m12(spark, sf):
+    """Mean absolute sampled Shapley values of the highest scored windows."""
+    train, _, test = splits(spark, sf, FEW)
+    m = model.train(train, FEW, **SMALL)
+    return model.mean_attribution(model.attributions(m, test, FEW, top=50, orders=4, background=50))
+
+
+@query("m12_top_rows")
+def m12_rows(spark, sf):
+    """Attributions of the ten highest scored windows, one row each and feature."""
+    train, _, test = splits(spark, sf, FEW)
+    m = model.train(train, FEW, **SMALL)
+    return model.attributions(m, test, FEW, top=10, orders=4, background=50)
+
+
+@query("m13_batch_scoring")
+def m13(spark, sf):
+    """A score for every window, with keys and label."""
+    m, cols, train, val, test = _fit_score(spark, sf)
+    return model.score(m, train.unionByName(val).unionByName(test), cols)
+
+
+# -- calibration ---------------------------------------------------------------------------------------------
+
+
+def _raw(spark, sf):
+    s = d.scored_splits(spark, sf).where(F.col("method") == "raw")
+    return s.where(F.col("split") == "val"), s.where(F.col("split") == "test")
+
+
+@query("c1_isotonic")
+def c1(spark, sf):
+    """Fitted on val, applied to val and test: the map at every distinct score."""
+    val, test = _raw(spark, sf)
+    fitted = calibrate.fit(val, "isotonic")
+    return calibrate.apply(fitted, val.unionByName(test)).select("split", "prob", "prob_cal").distinct()
+
+
+@query("c1_isotonic_report")
+def c1_report(spark, sf):
+    val, test = _raw(spark, sf)
+    return calibrate.before_after(calibrate.apply(calibrate.fit(val, "isotonic"), val.unionByName(test)), ["split"])
+
+
+@query("c2_sigmoid")
+def c2(spark, sf):
+    val, test = _raw(spark, sf)
+    fitted = calibrate.fit(val, "sigmoid")
+    return calibrate.apply(fitted, val.unionByName(test)).select("split", "prob", "prob_cal").distinct()
+
+
+@query("c5_cv_calibrated")
+def c5(spark, sf):
+    """The mean of three models, each calibrated on the fold it did not see."""
+    train, _, test = splits(spark, sf, FEW)
+    scored = calibrate.cv_calibrated(train, test, FEW, "isotonic", 3, trees=6, depth=4)
+    return calibrate.before_after(scored)
+
+
+# -- models and releases -----------------------------------------------------------------------------------------
+
+
+@query("s12_model_persistence")
+def s12(spark, sf):
+    """A saved and reloaded model gives the same scores: windows, largest difference, features kept."""
+    train, _, test = splits(spark, sf, FEW)
+    m = model.train(train, FEW, **SMALL)
+    path = new_path(spark, "model")
+    model.save(m, path)
+    again = model.load(path)
+    a = model.score(m, test, FEW)
+    b = model.score(again, test, model.bundle_features(again)).withColumnRenamed("prob", "prob_again")
+    both = a.join(b.drop("label"), ["stay_id", "index_time"])
+    return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("prob") - F.col("prob_again"))).alias("max_diff")).withColumn(
+        "n_features", F.lit(len(model.bundle_features(again)))
+    )
+
+
+@query("s13_release_record")
+def s13(spark, sf):
+    """Model, threshold at a tenth of validation entities, test metrics and lead times as one settings table."""
+    train, val, test = splits(spark, sf, FEW)
+    m = model.train(train, FEW, **SMALL)
+    path = new_path(spark, "release")
+    model.save(m, f"{path}/model")
+    pooled = evaluate.pool(model.score(m, val, FEW))
+    thr = evaluate.threshold_for_rate(pooled, 0.1).first()["threshold"]
+    scored = materialize(model.score(m, test, FEW, ["stay_id", "index_time", "label", "first_event_time"]), "scored")
+    metrics = evaluate.evaluate(scored)
+    lead = leadtime.stats(leadtime.lead_times(scored, thr))
+    out = writers.release_table(spark, "h48", f"{path}/model", 48, thr, FEW, metrics=metrics, lead=lead)
+    return out.where(F.col("key") != "model_path")
+
+
+@query("l1_release_to_alerts")
+def l1_release(spark, sf):
+    """Saved model to alerts: score a table, one row per entity, daily cap and refractory suppression."""
+    train, _, test = splits(spark, sf, FEW)
+    path = new_path(spark, "model")
+    model.save(model.train(train, FEW, **SMALL), path)
+    m = model.load(path)
+    scored = materialize(model.score(m, test, model.bundle_features(m)), "scored")
+    kept = alerts.suppress(scored, 0.5, alerts.REFRACTORY_HOURS).groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_alerts"))
+    return alerts.batch(scored, 0.5, daily_cap=50).join(kept, "stay_id", "left")

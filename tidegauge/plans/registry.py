@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.plans import relational, scored, timeline  # noqa: F401  (they register on import)
+from tidegauge.plans import learned, relational, scored, timeline  # noqa: F401  (they register on import)
 from tidegauge.plans.catalog import ORACLES, QUERIES
 
 
