@@ -24,19 +24,20 @@ GROUP_LIMIT_MAX = 1000
 
 
 def value_bucket(value: Column | str) -> Column:
-    """Monotone bucket of a double: about 1000 buckets per doubling of |value| above 1e-6.
+    """Monotone bucket of a double: 65536 buckets per doubling of |value| above 1e-6.
 
-    It needs no look at the data, and only tens of thousands of buckets can be populated.
+    It needs no look at the data. Probabilities can populate about 1.3 million buckets at most, doubles of
+    any size a few million: that bounds the table of bucket totals, however many rows there are.
     """
     v = F.col(value) if isinstance(value, str) else value
     v = v.cast("double")
-    return F.floor(F.signum(v) * F.log2(1 + F.abs(v) * float(1 << 20)) * 1024).cast("long")
+    return F.floor(F.signum(v) * F.log2(1 + F.abs(v) * float(1 << 20)) * 65536).cast("long")
 
 
 def hash_bucket(value: Column | str) -> Column:
-    """1024 equal ranges of a non-negative 60-bit hash (see ``hash60``)."""
+    """65536 equal ranges of a non-negative 60-bit hash (see ``hash60``)."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.shiftright(v, 50).cast("long")
+    return F.shiftright(v, 44).cast("long")
 
 
 def hash60(*cols: Column | str, seed: int = 0) -> Column:
@@ -52,28 +53,33 @@ def running_sums(
     levels: Sequence[str],
     order: Sequence[Column],
     measures: Mapping[str, str],
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` ({output: input column}) inside each ``by`` group.
 
     ``levels`` are existing bucket columns, ascending along ``order``. Rows that tie in ``order`` are
-    summed one after the other, so pre-aggregate to distinct sort keys when ties matter.
+    summed one after the other, so pre-aggregate to distinct sort keys when ties matter. ``totals`` adds
+    group totals ({output: measure}), which the bucket table yields at no extra cost.
     """
     keys = list(by)
-    offsets = bucket_offsets(df, keys, levels, measures)
+    totals = dict(totals or {})
+    offsets = bucket_offsets(df, keys, levels, measures, totals)
     cells = [*keys, *levels]
     frame = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = df.join(offsets, cells)
     out = joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.sum(src).over(frame) + F.col(f"__off_{name}")).alias(name) for name, src in measures.items()],
+        *totals,
     )
     return out
 
 
 def bucket_offsets(
-    df: DataFrame, by: Sequence[str], levels: Sequence[str], measures: Mapping[str, str]
+    df: DataFrame, by: Sequence[str], levels: Sequence[str], measures: Mapping[str, str], totals: Mapping[str, str] | None = None
 ) -> DataFrame:
     """For each bucket, the sum of every measure over all earlier buckets of its group (``__off_*``)."""
+    totals = dict(totals or {})
     keys = list(by)
     table = df.groupBy(*keys, *levels).agg(*[F.sum(src).alias(f"__sum_{name}") for name, src in measures.items()])
     for depth in range(len(levels)):
@@ -89,12 +95,13 @@ def bucket_offsets(
         part = cell.select(
             *here,
             *[F.coalesce(F.sum(f"__sum_{m}").over(before), F.lit(0)).alias(f"__part_{m}") for m in measures],
+            *([F.sum(f"__sum_{m}").over(Window.partitionBy(*keys)).alias(t) for t, m in totals.items()] if depth == 0 else []),
         )
         if depth == 0:
-            offsets = part.select(*here, *[F.col(f"__part_{m}").alias(f"__off_{m}") for m in measures])
+            offsets = part.select(*here, *[F.col(f"__part_{m}").alias(f"__off_{m}") for m in measures], *totals)
         else:
             offsets = part.join(offsets, upper).select(
-                *here, *[(F.col(f"__off_{m}") + F.col(f"__part_{m}")).alias(f"__off_{m}") for m in measures]
+                *here, *[(F.col(f"__off_{m}") + F.col(f"__part_{m}")).alias(f"__off_{m}") for m in measures], *totals
             )
     return offsets
 

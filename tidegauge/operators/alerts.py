@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import head, previous_value, running_sums
 from tidegauge.operators.evaluate import confusion, entity_alerts, prf, rank_metrics
-from tidegauge.operators.leadtime import keep, stats
-from tidegauge.functions.timefn import hours_between
+from tidegauge.operators.leadtime import keep, lead_times, stats
 
 # Release defaults.
 NO_CAP = 999_999
@@ -75,15 +74,15 @@ def suppress(
 
 
 def weekly(
-    scored: DataFrame, thr: float, entity: str = "stay_id", ts: str = "index_time", event: str = "first_event_time", label: str = "label"
+    scored: DataFrame, thr: float, entity: str = "stay_id", ts: str = "index_time", event: str = "first_event_time", events: DataFrame | None = None
 ) -> DataFrame:
     """Per calendar week: window AUROC and AP (null with one class), entity counts and rates, lead-time stats."""
     weeks = scored.withColumn("week", F.date_trunc("week", ts))
     by = ["week"]
-    windows = rank_metrics(weeks, label, "prob", by).select("week", "auroc", "ap")
-    stays = entity_alerts(weeks, thr, entity, ts, label, by=by, extra={event: F.max(event)})
+    windows = rank_metrics(weeks, by=by).select("week", "auroc", "ap")
+    stays = lead_times(weeks, thr, entity, ts, event, positives=False, by=by, events=events)
     counts = prf(confusion(stays, thr, "stay_label", "max_prob", by))
-    leads = keep(stays.withColumn("lead_hours", hours_between(event, "first_alert_time")), "nonnegative")
+    leads = keep(stays, "nonnegative")
     lead = stats(leads, by).select("week", F.col("n").alias("lead_n"), F.col("mean").alias("lead_mean"), F.col("p50").alias("lead_p50"))
     return counts.join(windows, by, "left").join(lead, by, "left").fillna(0, ["lead_n"])
 

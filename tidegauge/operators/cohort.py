@@ -54,12 +54,14 @@ def build(
     """One row per subject: the first stay among coded admissions of adults, if it is long enough.
 
     The length filter comes after the first stay is chosen, so a short first stay drops the subject.
-    The diagnosis side only filters, hence a semi join: a subject with a great many codes adds no rows.
+    Only the first stay of an admission can be the first of its subject, so stays are cut down to one per
+    admission, and codes to distinct admissions, before anything is joined: every join is one to one.
     """
     adults = patients.where(F.col("anchor_age") >= min_age).select("subject_id", "anchor_age", "gender")
     coded = diagnoses.where(code_match("icd_code", "icd_version", prefixes)).select("subject_id", "hadm_id").distinct()
+    opening = first_per_group(stays, ["subject_id", "hadm_id"], ["intime", "stay_id"])
     chosen = (
-        stays.join(coded, ["subject_id", "hadm_id"], "left_semi")
+        opening.join(coded, ["subject_id", "hadm_id"], "left_semi")
         .join(admissions.select("subject_id", "hadm_id", "admittime", "dischtime"), ["subject_id", "hadm_id"])
         .join(adults, "subject_id")
     )

@@ -45,13 +45,18 @@ def sweep(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[
     Columns: group columns, ``score``, ``n_pos`` and ``n_neg`` at the score, ``tp`` and ``fp`` at or above it.
     Equal scores are merged before anything is ordered.
     """
+    return _sweep(df, label, prob, by).drop("__p", "__n")
+
+
+def _sweep(df: DataFrame, label: str, prob: str, by: Sequence[str]) -> DataFrame:
+    """``sweep`` plus the class totals ``__p`` and ``__n`` of the group."""
     merged = (
         df.where(F.col(prob).isNotNull() & F.col(label).isNotNull())
         .groupBy(*by, F.col(prob).cast("double").alias("score"))
         .agg(F.sum(_pos(label)).alias("n_pos"), F.sum(_neg(label)).alias("n_neg"))
         .withColumn("__b", -value_bucket("score"))
     )
-    return running_sums(merged, by, ["__b"], [F.col("score").desc()], {"tp": "n_pos", "fp": "n_neg"}).drop("__b")
+    return running_sums(merged, by, ["__b"], [F.col("score").desc()], {"tp": "n_pos", "fp": "n_neg"}, {"__p": "tp", "__n": "fp"}).drop("__b")
 
 
 def rank_metrics(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
@@ -78,25 +83,13 @@ def rank_metrics(df: DataFrame, label: str = "label", prob: str = "prob", by: Se
     )
 
 
-def _totals(s: DataFrame, by: Sequence[str]) -> DataFrame:
-    return s.groupBy(*by).agg(F.sum("n_pos").alias("__p"), F.sum("n_neg").alias("__n"))
-
-
-def with_totals(s: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds the class totals; without groups they are two scalars, with groups one small row each."""
-    t = _totals(s, by)
-    if by:
-        return s.join(t, list(by))
-    return s.withColumns({"__p": t.select("__p").scalar(), "__n": t.select("__n").scalar()})
-
-
 def roc(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = (), drop_collinear: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score plus the origin (threshold null).
 
     ``drop_collinear`` drops inner points at which neither count changes direction: same step as before
     and after.
     """
-    s = with_totals(sweep(df, label, prob, by), by)
+    s = _sweep(df, label, prob, by)
     if drop_collinear:
         s = _corners(s, by)
     points = s.select(
@@ -117,7 +110,7 @@ def _corners(s: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def pr(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
     """(threshold, recall, precision) per distinct score plus the end point (null, 0, 1)."""
-    points = with_totals(sweep(df, label, prob, by), by).select(
+    points = _sweep(df, label, prob, by).select(
         *by,
         F.col("score").alias("threshold"),
         ratio(F.col("tp"), F.col("__p")).alias("recall"),

@@ -55,10 +55,14 @@ def attach(entities: DataFrame, firsts: DataFrame, entity: str) -> DataFrame:
 def detect(
     cohort: DataFrame, inputs: DataFrame, procedures: DataFrame, dictionary: DataFrame, entity: str = "stay_id"
 ) -> DataFrame:
-    """First vasopressor, ventilation and renal-therapy time per cohort entity, and the earliest of them."""
+    """First vasopressor, ventilation and renal-therapy time per cohort entity, and the earliest of them.
+
+    Minima are combined before the shuffle, so each entity sends a row per task at most and the cohort is
+    joined to one row per entity.
+    """
     drug = inputs.where(positive_dose()).select(entity, "itemid", "starttime").withColumn("source", F.lit("input"))
     done = procedures.where(F.col("starttime").isNotNull()).select(entity, "itemid", "starttime").withColumn("source", F.lit("procedure"))
-    tagged = tag_items(members(drug.unionByName(done), cohort, entity), dictionary)
+    tagged = tag_items(drug.unionByName(done), dictionary)
     firsts = first_events(
         tagged,
         entity,

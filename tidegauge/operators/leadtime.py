@@ -14,13 +14,24 @@ from tidegauge.operators.quality import describe
 
 
 def lead_times(
-    df: DataFrame, thr: float, entity: str = "stay_id", ts: str = "index_time", event: str = "first_event_time", positives: bool = True, by: Sequence[str] = ()
+    df: DataFrame,
+    thr: float,
+    entity: str = "stay_id",
+    ts: str = "index_time",
+    event: str = "first_event_time",
+    positives: bool = True,
+    by: Sequence[str] = (),
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """Entity rows with ``lead_hours``; null without an alert or event, negative if the alert came late.
 
-    ``positives`` keeps entities with a positive label only.
+    Event times stand on the windows, or in ``events`` (one row per entity), which is joined after the
+    windows are pooled. ``positives`` keeps entities with a positive label only.
     """
-    alerts = entity_alerts(df, thr, entity, ts, by=by, extra={event: F.max(event)})
+    if events is None:
+        alerts = entity_alerts(df, thr, entity, ts, by=by, extra={event: F.max(event)})
+    else:
+        alerts = entity_alerts(df, thr, entity, ts, by=by).join(events.select(entity, event), entity, "left")
     out = alerts.withColumn("lead_hours", hours_between(event, "first_alert_time"))
     return out.where(F.col("stay_label") == 1) if positives else out
 

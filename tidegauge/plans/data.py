@@ -122,20 +122,20 @@ TIMELINE = [SERIES, STAYS, INSIDE, FIRSTS, FULLGRID, GRID]
 # -- scored windows: from ``lineitem`` (and ``orders`` for event times) -----------------------------------
 
 
-def scored(spark: SparkSession, sf: str, with_event: bool = False) -> DataFrame:
+def scored(spark: SparkSession, sf: str) -> DataFrame:
     """(stay_id, index_time, label, prob), one row per key."""
     li = table(spark, sf, "lineitem")
     y = ((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 10)) | (F.col("l_quantity") >= 46)
     p = F.round((F.col("l_quantity") + 100 * F.col("l_discount")) / 61.0, 6)
-    out = li.groupBy(F.col("l_orderkey").alias("stay_id"), F.col("l_shipdate").alias("index_time")).agg(
+    return li.groupBy(F.col("l_orderkey").alias("stay_id"), F.col("l_shipdate").alias("index_time")).agg(
         F.max(y.cast("int")).alias("label"), F.max(p).alias("prob")
     )
-    if with_event:
-        o = table(spark, sf, "orders").select(
-            F.col("o_orderkey").alias("stay_id"), plus_hours("o_orderdate", 90 * 24).alias("first_event_time")
-        )
-        out = out.join(o, "stay_id", "left")
-    return out
+
+
+def event_times(spark: SparkSession, sf: str) -> DataFrame:
+    """An event 90 days after each order."""
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("stay_id"), plus_hours("o_orderdate", 90 * 24).alias("first_event_time"))
 
 
 def scored_splits(spark: SparkSession, sf: str) -> DataFrame:

@@ -292,21 +292,24 @@ LEAD_STATS = "count(lead_hours) AS n, avg(lead_hours) AS mean, stddev_samp(lead_
 _LEAD = ["mean", "std", "min", "max", "p10", "p25", "p50", "p75", "p90"]
 
 
+def _leads(spark, sf, positives=True):
+    return leadtime.lead_times(d.scored(spark, sf), T, positives=positives, events=d.event_times(spark, sf))
+
+
 @query("e17_lead_time_detail", sql(LEAD_PARTS, "SELECT stay_id, first_event_time, first_alert_time, lead_hours FROM leads WHERE stay_label = 1", ["lead_hours"]))
 def e17(spark, sf):
-    return leadtime.lead_times(d.scored(spark, sf, True), T).select("stay_id", "first_event_time", "first_alert_time", "lead_hours")
+    return _leads(spark, sf).select("stay_id", "first_event_time", "first_alert_time", "lead_hours")
 
 
 @query("e17_lead_time_stats", sql(LEAD_PARTS, f"SELECT {LEAD_STATS} FROM leads WHERE stay_label = 1", _LEAD, ["n"]))
 def e17_stats(spark, sf):
-    return leadtime.stats(leadtime.lead_times(d.scored(spark, sf, True), T))
+    return leadtime.stats(_leads(spark, sf))
 
 
 @query("e18_lead_time_rules", sql(LEAD_PARTS, f"SELECT 'positive' AS rule, {LEAD_STATS} FROM leads WHERE stay_label = 1 AND lead_hours > 0 UNION ALL SELECT 'nonnegative', {LEAD_STATS} FROM leads WHERE stay_pred = 1 AND lead_hours >= 0", _LEAD, ["n"]))
 def e18(spark, sf):
-    s = d.scored(spark, sf, True)
-    a = leadtime.stats(leadtime.keep(leadtime.lead_times(s, T), "positive")).withColumn("rule", F.lit("positive"))
-    b = leadtime.stats(leadtime.keep(leadtime.lead_times(s, T, positives=False), "nonnegative")).withColumn("rule", F.lit("nonnegative"))
+    a = leadtime.stats(leadtime.keep(_leads(spark, sf), "positive")).withColumn("rule", F.lit("positive"))
+    b = leadtime.stats(leadtime.keep(_leads(spark, sf, False), "nonnegative")).withColumn("rule", F.lit("nonnegative"))
     return a.unionByName(b)
 
 
@@ -315,7 +318,7 @@ POSITIVE_LEADS = "pl AS (SELECT lead_hours FROM leads WHERE stay_label = 1 AND l
 
 @query("e19_lead_histogram", sql([*LEAD_PARTS, POSITIVE_LEADS], "SELECT least(floor((lead_hours - lo) / (hi - lo) * 24), 23) AS bin, count(*) AS n FROM pl, (SELECT min(lead_hours) AS lo, max(lead_hours) AS hi FROM pl) r GROUP BY 1", ints=["bin", "n"]))
 def e19(spark, sf):
-    return leadtime.histogram(leadtime.keep(leadtime.lead_times(d.scored(spark, sf, True), T), "positive"), "lead_hours")
+    return leadtime.histogram(leadtime.keep(_leads(spark, sf), "positive"), "lead_hours")
 
 
 @query(
@@ -327,7 +330,7 @@ def e19(spark, sf):
         ["q1", "median", "q3", "whisker_low", "whisker_high"], ["n_outliers"]),
 )
 def e19_box(spark, sf):
-    return leadtime.box(leadtime.keep(leadtime.lead_times(d.scored(spark, sf, True), T), "positive"), "lead_hours")
+    return leadtime.box(leadtime.keep(_leads(spark, sf), "positive"), "lead_hours")
 
 
 @query("e19_confidence_histogram", sql([d.SCORED], f"SELECT {UNIFORM} AS bin, count(*) AS n FROM scored GROUP BY 1", ints=["bin", "n"]))
@@ -453,7 +456,7 @@ WEEKLY = [
 )
 def l3(spark, sf):
     """Window and entity metrics and lead times per week."""
-    return alerts.weekly(d.scored(spark, sf, True), T)
+    return alerts.weekly(d.scored(spark, sf), T, events=d.event_times(spark, sf))
 
 
 @query("l4_entity_detail", sql([d.SCORED, d.STAY_ALERTS], "SELECT stay_id, stay_label, max_prob, first_alert_time, stay_pred FROM stay_alerts", ["max_prob"], ["stay_label", "stay_pred"]))
