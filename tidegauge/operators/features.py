@@ -14,9 +14,6 @@ from tidegauge.functions.timefn import ceil_hour, floor_hour, hour_number
 STATS = ("last", "mean", "min", "max", "std", "count", "trend_last_mean")
 EXTRA_STATS = ("median", "iqr", "slope", "delta_pct", "missing")
 
-# Hours per tile. A window group is one tile of one entity, so its size does not grow with the data.
-TILE_HOURS = 168
-
 
 def bucket_hour(ts: Column | str, bucket: str = "floor") -> Column:
     """Hour a reading counts for. ``floor`` lets minutes of the index hour in; ``ceil`` never looks ahead."""
@@ -81,56 +78,40 @@ def window_stats(
     variable: str = "variable",
     value: str = "value",
     bucket: str = "floor",
-    tile_hours: int = TILE_HOURS,
 ) -> DataFrame:
     """One row per grid row with ``{variable}__{w}h__{stat}`` columns over the hours (t - w, t].
 
     Statistics are over hourly means. A variable the entity never has gives nulls throughout. A variable
     without data in the frame gives nulls and a count of 0, unless no variable has data there.
 
-    Time is cut into tiles. An hourly row is also placed in the next tile if a frame there can reach back to
-    it, so all frames of a tile are complete inside it and the window is partitioned by (entity, tile).
+    Readings are first merged to one row per entity and hour, largely before the shuffle, so what an entity
+    brings to its window is bounded by the hours of its history (8,784 rows a year) and not by its readings.
+    Grid points and hourly rows then form one table; a range frame over the hour number sees for each grid
+    point what a range join would. All variables and widths share one shuffle and one sort.
     """
     bad = [w for w in windows if int(w) <= 0]
     if bad or not windows:
         raise ValueError(f"windows must be positive, got {list(windows)}")
-    reach = max(windows) - 1
-    if reach >= tile_hours:
-        raise ValueError("a tile must be longer than the longest window")
 
     hours = pivot_hours(readings, entity, ts, variable, value, variables, bucket)
-    h = hour_number("hour")
-    tile = F.floor(h / tile_hours).cast("long")
-    late = F.pmod(h, F.lit(tile_hours)) >= tile_hours - reach
-    tiles = F.when(late, F.array(tile, tile + 1)).otherwise(F.array(tile))
     some = F.coalesce(*[F.when(F.col(v).isNotNull(), 1) for v in variables])
     left = hours.select(
-        entity,
-        h.alias("__h"),
-        *[F.col(v).alias(f"__v_{v}") for v in variables],
-        some.alias("__some"),
-        F.explode(tiles).alias("__tile"),
+        entity, hour_number("hour").alias("__h"), *[F.col(v).alias(f"__v_{v}") for v in variables], some.alias("__some")
     )
-
-    g = hour_number(index_time)
     kept = grid.columns
-    points = grid.select(
-        F.col(entity),
-        g.alias("__h"),
-        F.floor(g / tile_hours).cast("long").alias("__tile"),
-        F.struct(*kept).alias("__row"),
-    )
+    points = grid.select(F.col(entity), hour_number(index_time).alias("__h"), F.struct(*kept).alias("__row"))
     rows = left.unionByName(points, allowMissingColumns=True)
 
-    # Which variables an entity has at all: one flag row per entity, brought to its (entity, tile) cells.
-    seen = hours.groupBy(entity).agg(*[F.max(F.col(v).isNotNull()).alias(f"__seen_{v}") for v in variables])
-    cells = points.select(entity, "__tile").distinct().join(seen, entity, "left")
-    cells = cells.select(entity, "__tile", *[F.coalesce(F.col(f"__seen_{v}"), F.lit(False)).alias(f"__seen_{v}") for v in variables])
-    rows = rows.join(cells, [entity, "__tile"])
-
-    tiled = Window.partitionBy(entity, "__tile").orderBy("__h")
-    frames = {w: tiled.rangeBetween(-(int(w) - 1), 0) for w in windows}
+    whole = Window.partitionBy(entity)
+    along = whole.orderBy("__h")
+    frames = {w: along.rangeBetween(-(int(w) - 1), 0) for w in windows}
     any_cols = {w: f"__any_{w}" for w in windows}
+    first, last = (f(F.when(F.col("__row").isNotNull(), F.col("__h"))).over(whole) for f in (F.min, F.max))
+    marks: dict[str, Column] = {"__from": first - (max(windows) - 1), "__to": last}
+    if "count" in stats:
+        marks.update({f"__seen_{v}": F.count(f"__v_{v}").over(whole) > 0 for v in variables})
+    # Hours that no frame of the entity can reach are dropped before any frame is computed.
+    rows = rows.withColumns(marks).where(F.col("__h").between(F.col("__from"), F.col("__to")))
     rows = rows.withColumns({any_cols[w]: F.count("__some").over(frames[w]) for w in windows})
     feats: dict[str, Column] = {}
     for w in windows:
