@@ -74,7 +74,9 @@ def train(df: DataFrame, features: Sequence[str], label: str = "label", **option
     """Fit on the rows of ``df``; imputation and scaling are learned from them alone."""
     rows = align_columns(df.withColumn("label", F.col(label).cast("double")), features, ["label"])
     weighted = options.get("weighted", True)
-    return stages(features, **options).fit(class_weights(rows) if weighted else rows)
+    fitted = stages(features, **options).fit(class_weights(rows) if weighted else rows)
+    # A fresh copy of the forest carries no training summary, which would drag the session into every task.
+    return PipelineModel([*fitted.stages[:-1], fitted.stages[-1].copy()])
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("stay_id", "index_time", "label")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +95,7 @@ def read_table(
     """A delimited table by name, with its declared schema.
 
     ``bad_rows``: ``drop`` skips rows that do not fit the schema, ``null`` keeps them with nulls,
-    ``fail`` stops the job.
+    ``fail`` stops the job. The whole row decides, also when few columns are read.
     """
     modes = {"drop": "DROPMALFORMED", "null": "PERMISSIVE", "fail": "FAILFAST"}
     schema = schema or RAW[(str(area).lower(), table)]
@@ -103,12 +103,19 @@ def read_table(
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", modes[bad_rows])
-        .option("enforceSchema", False)
         .csv(resolve(spark, root, table, area))
     )
+    if bad_rows != "null":
+        df = _all_columns_read(df)
     return shaped(df, columns, where, limit, order)
 
 
+def _all_columns_read(df: DataFrame) -> DataFrame:
+    """Keeps column pruning from hiding a bad value in a column nobody asked for. The filter is always true."""
+    nulls = reduce(add, [F.col(c).isNull().cast("int") for c in df.columns])
+    return df.where(nulls >= 0)
+
+
 def bad_rows(spark: SparkSession, files: Sequence[str], schema: str) -> DataFrame:
     """The raw lines that do not fit the schema (``line``), for a side table. Header lines are left out."""
     names = T._parse_datatype_string(schema).names

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.sources.tables import shaped
@@ -27,8 +27,6 @@ def to_parquet(
 ) -> None:
     """Projected, filtered copy as parquet. Zero rows written is an error."""
     out = shaped(df, columns, where, limit)
-    seen = Observation()
-    out = out.observe(seen, F.count(F.lit(1)).alias("n"))
     writer = (
         out.write.mode(MODES[if_exists])
         .option("compression", compression)
@@ -37,9 +35,10 @@ def to_parquet(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    existed = if_exists == "skip" and _exists(df.sparkSession, path)
+    spark = df.sparkSession
+    existed = if_exists == "skip" and _exists(spark, path)
     writer.parquet(path)
-    if not existed and not seen.get.get("n"):
+    if not existed and spark.read.schema(out.schema).parquet(path).isEmpty():
         raise RuntimeError(f"no rows written to {path}")
 
 
