@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Spark drops surplus rows of a "row_number <= n" filter before the shuffle up to this n.
-GROUP_LIMIT_MAX = 1000
+# Up to this n, Spark's pruning of "row_number <= n" before the shuffle is used: each task sends at most n
+# rows per group. Larger heads of possibly huge groups are ranked by buckets.
+GROUP_LIMIT_MAX = 100
 
 
 def value_bucket(value: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions.ordered import hash60, hash_bucket, previous_value
+from tidegauge.functions.ordered import hash60, hash_bucket, previous_value, quantiles
 from tidegauge.operators import split as splits
 from tidegauge.operators.dictionary import group_of
 from tidegauge.operators.evaluate import rank_metrics
@@ -39,6 +39,14 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     return df.withColumn(out, F.when(F.col(label) == 1, n.select("w1").scalar()).otherwise(n.select("w0").scalar()))
 
 
+def fill_values(df: DataFrame, features: Sequence[str], how: str = "median") -> DataFrame:
+    """(feature, value): the exact median or mean of every feature over its known values."""
+    tall = df.select([F.col(f).cast("double").alias(f) for f in features]).unpivot([], list(features), "feature", "v")
+    if how == "mean":
+        return tall.groupBy("feature").agg(F.avg("v").alias("value"))
+    return quantiles(tall, "v", [0.5], ["feature"], out="value").select("feature", "value")
+
+
 def stages(
     features: Sequence[str],
     trees: int = 600,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import alerts, calibrate, evaluate, features, grid, leadtime, model, quality, split
 from tidegauge.plans import data as d
 from tidegauge.plans.catalog import query, sql
+from tidegauge.plans.timeline import wide_sql, window_ctes
 from tidegauge.session import materialize, new_path
 from tidegauge.sources import writers
 
@@ -66,7 +67,13 @@ def m3(spark, sf):
     return split.fold_table(d.table(spark, sf, "orders"), "o_custkey", 5)
 
 
-@query("m3_fold_sizes")
+_FOLDS = (
+    f"g AS (SELECT stay_id, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, {d.h60('stay_id', seed=42)}) - 1 AS r FROM scored GROUP BY 1)",
+    "f AS (SELECT stay_id, n_rows, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM g)",
+)
+
+
+@query("m3_fold_sizes", sql([d.SCORED, *_FOLDS], "SELECT fold, sum(n_rows) AS n_rows, count(*) AS n_groups FROM f GROUP BY 1", ints=["fold", "n_rows", "n_groups"]))
 def m3_sizes(spark, sf):
     """Rows and groups per fold."""
     f = split.folds(d.scored(spark, sf), "stay_id", 5)
@@ -76,6 +83,24 @@ def m3_sizes(spark, sf):
 # -- training ----------------------------------------------------------------------------------------------
 
 
+# The training table and its split in SQL: features of 24 hours, groups in hash order.
+_FEW_SQL, _FEW_NAMES = wide_sql([24], ["mean", "count"], ["error", "purchase", "view"])
+_TRAINSET = [
+    *window_ctes([24]),
+    f"feats AS ({_FEW_SQL})",
+    f"ranks AS (SELECT stay_id, row_number() OVER (ORDER BY {d.h60('stay_id', seed=42)}) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT stay_id FROM grid) x)",
+    "trainset AS (SELECT f.*, CASE WHEN r < ceil(n * 0.15) THEN 'test' WHEN r < ceil(n * 0.3) THEN 'val' ELSE 'train' END AS split FROM feats f JOIN ranks USING (stay_id))",
+]
+
+
+@query("m4_exact_fill_values", sql(_TRAINSET, " UNION ALL ".join(f"SELECT '{c}' AS feature, 'median' AS how, median({c}) AS value FROM trainset WHERE split = 'train' UNION ALL SELECT '{c}', 'mean', avg({c}) FROM trainset WHERE split = 'train'" for c in _FEW_NAMES), ["value"]))
+def m4_exact(spark, sf):
+    """Exact medians and means of the training part."""
+    train, _, _ = splits(spark, sf, FEW)
+    a = model.fill_values(train, FEW).withColumn("how", F.lit("median"))
+    return a.unionByName(model.fill_values(train, FEW, "mean").withColumn("how", F.lit("mean")))
+
+
 @query("m4_imputer")
 def m4(spark, sf):
     """Medians of the training part fill all parts."""
@@ -85,7 +110,16 @@ def m4(spark, sf):
     return both.groupBy("split").agg(*[F.avg(f"{c}_f").alias(c) for c in FEW], F.count(F.lit(1)).alias("n"))
 
 
-@query("m5_scaler")
+_KNOWN = "known AS (SELECT split, error__24h__count AS x FROM trainset WHERE split IN ('train', 'test') AND error__24h__count IS NOT NULL AND view__24h__count IS NOT NULL)"
+_SPREAD = "spread AS (SELECT avg(x) AS m, stddev_samp(x) AS s FROM known WHERE split = 'train')"
+
+
+@query(
+    "m5_scaler",
+    sql([*_TRAINSET, _KNOWN, _SPREAD],
+        "SELECT split, FALSE AS centered, avg(x / s) AS mean_0, stddev_samp(x / s) AS std_0 FROM known, spread GROUP BY 1 UNION ALL "
+        "SELECT split, TRUE, avg((x - m) / s), stddev_samp((x - m) / s) FROM known, spread GROUP BY 1", ["mean_0", "std_0"]),
+)
 def m5(spark, sf):
     """Centred and uncentred scaling by the training part's spread."""
     train, _, test = splits(spark, sf, FEW)
@@ -112,7 +146,7 @@ def m6(spark, sf):
     """A weighted forest on grouped splits: metrics of each split."""
     m, cols, train, val, test = _fit_score(spark, sf)
     scored = model.score(m, train.unionByName(val).unionByName(test), cols, ["split", "label"])
-    return evaluate.evaluate(scored, by=["split"])
+    return evaluate.evaluate(materialize(scored, "scored"), by=["split"])
 
 
 @query("m6_stratified_baseline")
@@ -129,13 +163,13 @@ def m6_baseline(spark, sf):
 @query("m7_grouped_cv")
 def m7(spark, sf):
     """Out-of-fold AUROC and AP, mean and spread over folds."""
-    return model.cv(trainset(spark, sf, names=FEW), FEW, 3, trees=6, depth=4)
+    return model.cv(trainset(spark, sf, names=FEW), FEW, 3, trees=6, depth=3)
 
 
 @query("m8_grid_search")
 def m8(spark, sf):
     """A small grid ranked by a formula over the cross-validated metrics."""
-    grid_ = model.parse_grid("n_estimators=4,8;max_depth=3;max_features=sqrt;class_weight=balanced,none")
+    grid_ = model.parse_grid("n_estimators=3,6;max_depth=2;max_features=sqrt;class_weight=balanced,none")
     return model.grid_search(trainset(spark, sf, names=FEW), FEW, grid_, 2)
 
 
@@ -143,7 +177,7 @@ def m8(spark, sf):
 def m9(spark, sf):
     """All features, without each group, and each group alone."""
     groups = {"errors": "^error", "purchases": "^purchase"}
-    return model.display_order(model.ablate(trainset(spark, sf, names=FEW), FEW, groups, 2, trees=4, depth=3))
+    return model.display_order(model.ablate(trainset(spark, sf, names=FEW), FEW, groups, 2, trees=3, depth=2))
 
 
 @query("m10_impurity_importance")
@@ -216,8 +250,8 @@ def c2(spark, sf):
 def c5(spark, sf):
     """The mean of three models, each calibrated on the fold it did not see."""
     train, _, test = splits(spark, sf, FEW)
-    scored = calibrate.cv_calibrated(train, test, FEW, "isotonic", 3, trees=6, depth=4)
-    return calibrate.before_after(scored)
+    scored = calibrate.cv_calibrated(train, test, FEW, "isotonic", 3, trees=6, depth=3)
+    return calibrate.before_after(materialize(scored, "scored"))
 
 
 # -- models and releases -----------------------------------------------------------------------------------------
