@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,9 +40,12 @@ def platt(p: Column | str, a: float, b: float) -> Column:
 
 
 def edges_at_or_below(value: Column | str, edges: Sequence[float]) -> Column:
-    """How many of the ascending literal edges are <= value. Plain comparisons, so no rounding surprises."""
+    """How many of the literal edges are <= value. Plain comparisons, so no rounding surprises.
+
+    A filter over one literal array: a sum of a hundred comparisons makes a method too long for the JIT.
+    """
     v = _col(value)
-    return reduce(add, [(v >= F.lit(float(e))).cast("int") for e in edges])
+    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v))
 
 
 def interpolate(value: Column | str, xs: Sequence[float], ys: Sequence[float]) -> Column:

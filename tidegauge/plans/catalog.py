@@ -38,9 +38,8 @@ def query(name: str, sql: str | None = None):
 def rounded(c: Column) -> Column:
     """Half away from zero at the sixth digit by plain arithmetic, which is far cheaper than decimal rounding."""
     scale = float(10**DIGITS)
-    small = F.abs(c) < 1e12
     fast = F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
-    return F.when(small, fast).otherwise(c) + F.lit(0.0)
+    return F.when(F.abs(c) < 1e8, fast).otherwise(F.round(c, DIGITS)) + F.lit(0.0)
 
 
 def tidy(df: DataFrame) -> DataFrame:

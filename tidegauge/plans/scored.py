@@ -8,6 +8,7 @@ from tidegauge.functions.scoring import platt
 from tidegauge.operators import alerts, calibrate, evaluate, leadtime
 from tidegauge.plans import data as d
 from tidegauge.plans.catalog import query, sql
+from tidegauge.session import materialize
 from tidegauge.sources import writers
 from tidegauge.streaming import feeds
 
@@ -180,7 +181,7 @@ EVALUATION = (
         ["auroc", "ap", "pos_rate", "brier", "ece"], ["n"]),
 )
 def e11(spark, sf):
-    s = d.scored(spark, sf)
+    s = materialize(d.scored(spark, sf), "scored")
     a = evaluate.evaluate(s).withColumn("level", F.lit("window"))
     return a.unionByName(evaluate.evaluate(evaluate.pool(s)).withColumn("level", F.lit("entity")))
 
@@ -382,7 +383,7 @@ _BY = ["horizon", "split", "method"]
 )
 def e22(spark, sf):
     """All metrics of several horizons, splits and methods at once."""
-    return evaluate.evaluate(d.scored_splits(spark, sf), by=_BY)
+    return evaluate.evaluate(materialize(d.scored_splits(spark, sf), "scored"), by=_BY)
 
 
 @query("e22_decision_curves_by_split", sql([d.SCORED, *d.SPLITS, "tagged AS (SELECT *, concat_ws('/', horizon, split, method) AS cell FROM splits)"], dca_sql("tagged", by="cell"), _DCA, ["n"]))
@@ -456,7 +457,7 @@ WEEKLY = [
 )
 def l3(spark, sf):
     """Window and entity metrics and lead times per week."""
-    return alerts.weekly(d.scored(spark, sf), T, events=d.event_times(spark, sf))
+    return alerts.weekly(materialize(d.scored(spark, sf), "scored"), T, events=d.event_times(spark, sf))
 
 
 @query("l4_entity_detail", sql([d.SCORED, d.STAY_ALERTS], "SELECT stay_id, stay_label, max_prob, first_alert_time, stay_pred FROM stay_alerts", ["max_prob"], ["stay_label", "stay_pred"]))
