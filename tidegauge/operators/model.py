@@ -110,7 +110,7 @@ def bundle_features(model: PipelineModel) -> list[str]:
 def cross_scores(df: DataFrame, features: Sequence[str], k: int = 5, group: str = "stay_id", seed: int = 42, **options) -> DataFrame:
     """Out-of-fold scores: for each fold, a model of the other folds scores it. ``df`` may carry ``fold``."""
     if "fold" not in df.columns:
-        df = splits.folds(df, group, k, seed)
+        df = materialize(splits.folds(df, group, k, seed), "folds")
     keys = [c for c in (group, "index_time", "label", "fold") if c in df.columns]
     parts = []
     for f in range(k):

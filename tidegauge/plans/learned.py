@@ -28,7 +28,7 @@ def trainset(spark, sf, horizon: int = 48, names=FEATURES) -> DataFrame:
 
 
 def splits(spark, sf, names=FEATURES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t = split.by_group(trainset(spark, sf, names=names), "stay_id")
+    t = materialize(split.by_group(trainset(spark, sf, names=names), "stay_id"), "split")
     return tuple(t.where(F.col("split") == s) for s in ("train", "val", "test"))
 
 
