@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,15 +36,21 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one in local mode only."""
+    """The work folder that every executor can reach: the session's ``spark.checkpoint.dir``. Without one this fails."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="tidegauge-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")
+
+
+def local_work_dir(spark: SparkSession) -> None:
+    """Give a local session without a work folder one that lasts as long as the process. A cluster must name its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        folder = tempfile.mkdtemp(prefix="tidegauge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
