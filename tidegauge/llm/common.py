@@ -150,3 +150,24 @@ def pa_schema(ddl: str) -> pa.Schema:
 
 def work_path(spark: SparkSession) -> str:
     return shared_dir(spark)
+
+
+def append(df: DataFrame, fn: Callable[[list], dict], schema: str, column: str = "text") -> DataFrame:
+    """All columns of ``df`` as they are, and further ones that ``fn`` makes from the values of one column.
+
+    ``fn`` gets a list (nulls are None) and returns name to list or array. One pass, no shuffle; Arrow batches.
+    """
+    extra = T.StructType.fromDDL(schema)
+    clash = {f.name for f in extra} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    target = pa_schema(schema)
+    whole = T.StructType([*df.schema.fields, *extra.fields])
+
+    def run(batches):
+        for b in batches:
+            out = fn(b.column(column).to_pylist())
+            new = [pa.array(out[f.name], type=f.type) for f in target]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *target.names])
+
+    return df.mapInArrow(run, whole)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate
+from tidegauge.llm import decontaminate, quality_classifier, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,15 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 def op1_decontaminate(spark, sf):
     r = decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return r.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query()
+def op4_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf, "labels")))
+
+
+@query()
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
