@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, quality_classifier, toxicity
+from tidegauge.llm import decontaminate, near_duplicates, quality_classifier, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,22 @@ def op4_quality(spark, sf):
 def op10_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+# Words after lower-casing A-Z, sets of five-word shingles, all pairs at the threshold, and the smallest id reachable.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + k], ' ') AS g
+      FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM e JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id AND r.c < l.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id, min(r.c) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
+
+@query(OP6_SQL)
+def op6_near_duplicates(spark, sf):
+    return near_duplicates.classes(table(spark, sf, "documents"))
