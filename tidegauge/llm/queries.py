@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, near_duplicates, quality_classifier, toxicity
+from tidegauge.llm import decontaminate, line_labels, mixing, near_duplicates, quality_classifier, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,16 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
 @query(OP6_SQL)
 def op6_near_duplicates(spark, sf):
     return near_duplicates.classes(table(spark, sf, "documents"))
+
+
+@query()
+def op9_line_rules(spark, sf):
+    docs = table(spark, sf, "documents")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
+    return line_labels.judge(docs.select("doc_id", "text"), line_labels.fit(docs)).select(*names)
+
+
+@query()
+def op8_mix_sources(spark, sf):
+    per_doc = mixing.mix(table(spark, sf, "documents"))[1]
+    return per_doc.select("doc_id", "size", "source_size", "target", "taken")
