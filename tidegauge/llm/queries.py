@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, line_labels, mixing, near_duplicates, quality_classifier, toxicity
+from tidegauge.llm import decontaminate, line_labels, line_runs, mixing, near_duplicates, quality_classifier, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op9_line_rules(spark, sf):
 def op8_mix_sources(spark, sf):
     per_doc = mixing.mix(table(spark, sf, "documents"))[1]
     return per_doc.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_line_runs(spark, sf):
+    cleaned = line_runs.remove_runs(table(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.size("__deleted").cast("long").alias("n_deleted"), F.array_join("__deleted", ",").alias("deleted_lines"), "text")
