@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, line_labels, line_runs, mixing, near_duplicates, quality_classifier, toxicity
+from tidegauge.llm import decontaminate, licences, line_labels, line_runs, mixing, near_duplicates, quality_classifier, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,29 @@ def op8_mix_sources(spark, sf):
 def op7_line_runs(spark, sf):
     cleaned = line_runs.remove_runs(table(spark, sf, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", F.size("__deleted").cast("long").alias("n_deleted"), F.array_join("__deleted", ",").alias("deleted_lines"), "text")
+
+
+def _canonical_sql(c: str) -> str:
+    out = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g'), '{licences.PUNCTUATION}', ' ', 'g')".replace("\\u00a9", "\u00a9")
+    for spelling, to in licences.SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{to}')"
+    return f"trim(regexp_replace({out}, '{licences.VERSION}', '\\1version \\2', 'g'), ' ')"
+
+
+def _op5_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.KNOWN.items())
+    return f"""
+WITH k AS (SELECT digest, string_agg(licence, ',' ORDER BY licence) AS licence FROM (SELECT DISTINCT sha256({_canonical_sql("text")}) AS digest, licence FROM (VALUES {known}) AS v(licence, text)) GROUP BY digest),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, {_canonical_sql("text")} AS form FROM d),
+l AS (SELECT doc_id, {_canonical_sql("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(text, chr(10)))),
+h AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ';' ORDER BY licence) AS names FROM l JOIN k ON sha256(form) = digest AND form <> '' GROUP BY doc_id)
+SELECT w.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, k.licence, coalesce(n, 0) AS n_licence_lines, coalesce(names, '') AS line_licences
+FROM w LEFT JOIN k ON form <> '' AND sha256(form) = k.digest LEFT JOIN h USING (doc_id)
+"""
+
+
+@query(_op5_sql())
+def op5_licences(spark, sf):
+    return licences.scan(table(spark, sf, "documents"), licences.known_digests(spark))
