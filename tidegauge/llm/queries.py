@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, licences, line_labels, line_runs, mixing, near_duplicates, personal_data, quality_classifier, toxicity
+from tidegauge.llm import class_model, decontaminate, licences, line_labels, line_runs, mixing, near_duplicates, personal_data, quality_classifier, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op2_personal_data(spark, sf):
     base = F.col("base.kind")
     counts = [(F.size(base) - F.size(F.array_remove(base, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(personal_data.KINDS)]
     return found.select("doc_id", *counts, F.sha2(personal_data.written(F.col("base")), 256).alias("base_sha256"), personal_data.written(F.col("spans")).alias("spans"))
+
+
+@query()
+def op3_class_model(spark, sf):
+    docs = table(spark, sf, "documents")
+    return class_model.score(docs, *class_model.fit(docs))
