@@ -78,14 +78,14 @@ def _sample(labels: DataFrame, label: str, trains: Column, limit: int) -> tuple[
     return known.filter("y = 0").orderBy(*order).limit(take0).unionByName(known.filter("y = 1").orderBy(*order).limit(take1)), {0: n0, 1: n1}
 
 
-def _sums(rows: DataFrame) -> np.ndarray:
+def _sums(rows: DataFrame, featurise: Featurise) -> np.ndarray:
     """Rows of each class that have each bucket: (2, BUCKETS)."""
 
     def partial(batches):
         total = np.zeros((2, BUCKETS), dtype=np.int64)
         for b in batches:
-            for y, idx in zip(b["y"], b["idx"]):
-                total[y, idx] += 1
+            for y, text in zip(b["y"], b["text"]):
+                total[y, featurise(text)] += 1
         hit = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"bucket": hit, "n0": total[0, hit], "n1": total[1, hit]})
 
@@ -95,7 +95,7 @@ def _sums(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _descend(rows: DataFrame, ratio: np.ndarray, n_blocks: int, cost: dict[int, float], rounds: int) -> tuple[np.ndarray, float]:
+def _descend(rows: DataFrame, ratio: np.ndarray, featurise: Featurise, n_blocks: int, cost: dict[int, float], rounds: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; each round every block starts from the common weights."""
     weights, alphas = np.zeros(BUCKETS + 1, dtype=np.float64), {}
     for r in range(rounds):
@@ -103,7 +103,7 @@ def _descend(rows: DataFrame, ratio: np.ndarray, n_blocks: int, cost: dict[int,
 
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("row")
-            w, x = w0.astype(np.float64), [np.asarray(i, dtype=np.int64) for i in pdf["idx"]]
+            w, x = w0.astype(np.float64), [featurise(t) for t in pdf["text"]]
             signs, ids = 2.0 * pdf["y"].to_numpy() - 1, pdf["row"].tolist()
             a = np.array([a0.get(i, 0.0) for i in ids])
             before, norm = a.copy(), np.array([float((ratio[i] ** 2).sum()) + 1 for i in x])
@@ -152,30 +152,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, featuris
     """``trains``: which ids may be learned from. Without rows of both classes the model is the class frequency."""
     sample, sizes = _sample(labels, label, trains, max_train)
 
-    def extract(batches):
-        for b in batches:
-            yield pd.DataFrame({"row": b["row"], "y": b["y"], "idx": [featurise(t) for t in b["text"]]})
-
     # the sample has max_train rows of twelve bytes at most
     picked = lean(docs, ID, "text").join(F.broadcast(sample), ID).select(F.xxhash64(ID, text_of()).alias("row"), "y", text_of().alias("text"))
-    rows = stored(picked.mapInPandas(extract, "row long, y int, idx array<int>").dropDuplicates(["row"]).withColumn("calibrates", F.pmod("row", F.lit(5)) == 0), "features")
+    # texts are stored and not their n-grams, which take several times the room and are made again in a moment
+    rows = stored(picked.dropDuplicates(["row"]).withColumn("calibrates", F.pmod("row", F.lit(5)) == 0), "sample")
     counts = {(r["y"], r["calibrates"]): r["n"] for r in rows.groupBy("y", "calibrates").agg(F.count("*").alias("n")).collect()}
     prior = (sizes[1] + 1) / (sizes[0] + sizes[1] + 2)
     if any(counts.get((y, c), 0) == 0 for y in (0, 1) for c in (False, True)):
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, 1.0, float(np.log(prior / (1 - prior))))
     training = rows.filter(~F.col("calibrates"))
     n = counts[0, False] + counts[1, False]
-    sums = _sums(training) + smoothing
+    sums = _sums(training, featurise) + smoothing
     ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
     n_blocks = -(-n // BLOCK)
     cost = {y: COST * n / (2 * counts[y, False]) for y in (0, 1)}
     blocks = training.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)))
-    weights, bias = _descend(blocks, ratio.astype(np.float32), n_blocks, cost, ROUNDS)
+    weights, bias = _descend(blocks, ratio.astype(np.float32), featurise, n_blocks, cost, ROUNDS)
     coef = (weights * ratio).astype(np.float32)
 
     def margins(batches):
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "m": [float(coef[np.asarray(i, dtype=np.int64)].sum()) + bias for i in b["idx"]]})
+            yield pd.DataFrame({"y": b["y"], "m": [float(coef[featurise(t)].sum(dtype=np.float64)) + bias for t in b["text"]]})
 
     kept = rows.filter("calibrates").mapInPandas(margins, "y int, m double").toPandas()  # a fifth of the sample
     y = kept["y"].to_numpy(dtype=float)
