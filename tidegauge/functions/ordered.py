@@ -19,10 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Up to this n, Spark's pruning of "row_number <= n" before the shuffle is used: each task sends at most n
-# rows per group. Larger heads of possibly huge groups are ranked by buckets.
-GROUP_LIMIT_MAX = 100
-
 
 def value_bucket(value: Column | str) -> Column:
     """Monotone bucket of a double: 65536 buckets per doubling of |value| above 1e-6.
@@ -115,8 +111,12 @@ def ranked(df: DataFrame, by: Sequence[str], levels: Sequence[str], order: Seque
 def head(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, levels: Sequence[str] = ()
 ) -> DataFrame:
-    """First ``n`` rows per group. Small ``n``: pruned before the shuffle. Large ``n``: ranked by buckets."""
-    if n <= GROUP_LIMIT_MAX or not levels:
+    """First ``n`` rows per group, by the plan the caller asks for.
+
+    Without ``levels`` each task sends at most ``n`` rows of a group, and they meet in one task: right for a few rows.
+    With ``levels`` (bucket columns along ``order``) rows are ranked by buckets and no task holds a whole head.
+    """
+    if not levels:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
     return ranked(df, by, levels, order, "__rank").where(F.col("__rank") <= n).drop("__rank")

@@ -40,12 +40,22 @@ def platt(p: Column | str, a: float, b: float) -> Column:
 
 
 def edges_at_or_below(value: Column | str, edges: Sequence[float]) -> Column:
-    """How many of the literal edges are <= value. Plain comparisons, so no rounding surprises.
+    """How many of the ascending literal edges are <= value. Edges decide by comparison, so no rounding surprises.
 
-    A filter over one literal array: a sum of a hundred comparisons makes a method too long for the JIT.
+    Evenly spaced edges take constant time: arithmetic says which edges can be next to the value, and the four around
+    are compared. Others are compared one by one.
     """
-    v = _col(value)
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v))
+    v, es = _col(value), [float(e) for e in edges]
+    known = F.array(*[F.lit(e) for e in es])
+    n, step = len(es), (es[-1] - es[0]) / max(len(es) - 1, 1)
+    if n < 6 or step <= 0 or any(abs(e - (es[0] + i * step)) > step / 4 for i, e in enumerate(es)):
+        return F.size(F.filter(known, lambda e: e <= v))
+    guess = F.floor((F.greatest(F.least(v, F.lit(es[-1] + step)), F.lit(es[0] - step)) - F.lit(es[0])) / F.lit(step)).cast("int")
+    low = F.greatest(guess - 1, F.lit(0))
+    out = low
+    for i in range(1, 5):
+        out = out + F.when(low + i <= n, (F.element_at(known, F.least(low + i, F.lit(n))) <= v).cast("int")).otherwise(0)
+    return out
 
 
 def interpolate(value: Column | str, xs: Sequence[float], ys: Sequence[float]) -> Column:

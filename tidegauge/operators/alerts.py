@@ -13,15 +13,14 @@ from tidegauge.functions.ordered import head, previous_value, running_sums
 from tidegauge.operators.evaluate import confusion, entity_alerts, prf, rank_metrics
 from tidegauge.operators.leadtime import keep, lead_times, stats
 
-# Release defaults.
-NO_CAP = 999_999
+# Fixed value: release default.
 REFRACTORY_HOURS = 24
 
 
-def batch(scored: DataFrame, thr: float, daily_cap: int = NO_CAP, entity: str = "stay_id", ts: str = "index_time") -> DataFrame:
-    """One row per entity: max_prob, first_alert_time, stay_pred. A cap keeps the earliest alerts per day."""
+def batch(scored: DataFrame, thr: float, daily_cap: int | None = None, entity: str = "stay_id", ts: str = "index_time") -> DataFrame:
+    """One row per entity: max_prob, first_alert_time, stay_pred. A cap, if given, keeps the earliest alerts per day."""
     stays = entity_alerts(scored, thr, entity, ts, label=None)
-    return stays if daily_cap >= NO_CAP else daily_capped(stays, daily_cap, entity)
+    return stays if daily_cap is None else daily_capped(stays, daily_cap, entity)
 
 
 def daily_capped(stays: DataFrame, cap: int, entity: str = "stay_id", alert: str = "first_alert_time") -> DataFrame:

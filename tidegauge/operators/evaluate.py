@@ -17,6 +17,10 @@ ALERT_THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 FLOOR = 1e-12
 
 
+#: A threshold is kept this far from 0 and 1 where its odds are taken.
+ODDS_CLIP = 1e-6
+
+
 def uniform_edges(n_bins: int = N_BINS) -> list[float]:
     """n + 1 evenly spaced edges of [0, 1]; each is i times the step, the last is 1."""
     step = 1.0 / n_bins
@@ -31,6 +35,12 @@ def _neg(label: str) -> Column:
     return (F.col(label) != 1).cast("long")
 
 
+def valid(prob: str, label: str | None = None) -> Column:
+    """Rows a metric counts: a score that is neither null nor NaN and, where a label is needed, a label."""
+    ok = F.col(prob).isNotNull() & ~F.isnan(F.col(prob).cast("double"))
+    return ok & F.col(label).isNotNull() if label else ok
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den, and 0 where the denominator is 0."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
@@ -51,7 +61,7 @@ def sweep(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[
 def _sweep(df: DataFrame, label: str, prob: str, by: Sequence[str]) -> DataFrame:
     """``sweep`` plus the class totals ``__p`` and ``__n`` of the group."""
     merged = (
-        df.where(F.col(prob).isNotNull() & F.col(label).isNotNull())
+        df.where(valid(prob, label))
         .groupBy(*by, F.col(prob).cast("double").alias("score"))
         .agg(F.sum(_pos(label)).alias("n_pos"), F.sum(_neg(label)).alias("n_neg"))
         .withColumn("__b", -value_bucket("score"))
@@ -127,7 +137,7 @@ def confusion(df: DataFrame, thr: Column | float, label: str = "label", prob: st
     """TP, FP, TN, FN with ``prob >= thr``, one aggregation."""
     t = thr if isinstance(thr, Column) else F.lit(float(thr))
     hit, pos = F.col(prob) >= t, F.col(label) == 1
-    return df.groupBy(*by).agg(
+    return df.where(valid(prob, label)).groupBy(*by).agg(
         F.count_if(hit & pos).alias("TP"),
         F.count_if(hit & ~pos).alias("FP"),
         F.count_if(~hit & ~pos).alias("TN"),
@@ -149,24 +159,30 @@ def prf(counts: DataFrame) -> DataFrame:
 
 
 def threshold_report(counts: DataFrame, thr: Column | float) -> DataFrame:
-    """Sensitivity, specificity, PPV, NPV, accuracy, F1 and net benefit; denominators are floored."""
+    """N, prevalence, sensitivity, specificity, PPV, NPV, accuracy, F1, and net benefit per 100 with its treat-all line.
+
+    Denominators are floored; for the odds the threshold is clipped to [1e-6, 1 - 1e-6], so 0 and 1 are allowed.
+    """
     t = thr if isinstance(thr, Column) else F.lit(float(thr))
     tp, fp, tn, fn = (F.col(c) for c in ("TP", "FP", "TN", "FN"))
     n = tp + fp + tn + fn
     safe = lambda d: F.greatest(d.cast("double"), F.lit(FLOOR))
-    odds = t / (1 - t)
+    clipped = F.greatest(F.least(t, F.lit(1 - ODDS_CLIP)), F.lit(ODDS_CLIP))
+    odds = clipped / (1 - clipped)
     prev = (tp + fn) / safe(n)
     return counts.withColumns(
         {
             "threshold": t,
+            "N": n,
+            "prevalence": prev,
             "sensitivity": tp / safe(tp + fn),
             "specificity": tn / safe(tn + fp),
             "ppv": tp / safe(tp + fp),
             "npv": tn / safe(tn + fn),
             "accuracy": (tp + tn) / safe(n),
             "f1": 2 * tp / safe(2 * tp + fp + fn),
-            "net_benefit": tp / safe(n) - fp / safe(n) * odds,
-            "treat_all": prev - (1 - prev) * odds,
+            "net_benefit_per100": 100 * (tp / safe(n) - fp / safe(n) * odds),
+            "treat_all_per100": 100 * (prev - (1 - prev) * odds),
         }
     )
 
@@ -199,7 +215,7 @@ def threshold_counts(
     """TP, FP, TN, FN at many fixed thresholds from one pass: rows are bucketed, then buckets are summed."""
     ts = sorted(set(float(t) for t in thresholds))
     w = F.col(weight).cast("double") if weight else F.lit(1)
-    ok = F.col(prob).isNotNull() & F.col(label).isNotNull() & (F.col(weight).isNotNull() if weight else F.lit(True))
+    ok = valid(prob, label) & (F.col(weight).isNotNull() if weight else F.lit(True))
     buckets = (
         df.where(ok)
         .groupBy(*by, edges_at_or_below(prob, ts).alias("__k"))
@@ -266,7 +282,7 @@ def sweep_rates(pooled: DataFrame, rates: Sequence[float], label: str = "label",
         tagged = pooled.withColumn("__ts", arrays.select("__ts").scalar())
     k = F.size(F.filter("__ts", lambda t: t <= F.col(prob)))
     buckets = (
-        tagged.where(F.col(prob).isNotNull())
+        tagged.where(valid(prob))
         .groupBy(*keys, k.alias("__k"), "__ts")
         .agg(F.sum(_pos(label)).alias("__pos"), F.sum(_neg(label)).alias("__neg"), F.count(F.lit(1)).alias("__rows"))
     )
@@ -305,7 +321,7 @@ def chosen_threshold(params: DataFrame, sources: Sequence[str], manual: float |
 
 
 def brier(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(F.pow(F.col(prob) - F.col(label), 2)).alias("brier"))
+    return df.where(valid(prob, label)).groupBy(*by).agg(F.avg(F.pow(F.col(prob) - F.col(label), 2)).alias("brier"))
 
 
 def uniform_bin(prob: str = "prob", n_bins: int = N_BINS) -> Column:
@@ -317,7 +333,7 @@ def uniform_bin(prob: str = "prob", n_bins: int = N_BINS) -> Column:
 def reliability(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = (), bin_: Column | None = None) -> DataFrame:
     """Mean prediction, observed rate and size of every non-empty bin (left-closed bins)."""
     b = bin_ if bin_ is not None else uniform_bin(prob)
-    return df.where(F.col(prob).isNotNull()).groupBy(*by, b.alias("bin")).agg(
+    return df.where(valid(prob, label)).groupBy(*by, b.alias("bin")).agg(
         F.avg(prob).alias("prob_pred"), F.avg(F.col(label).cast("double")).alias("prob_true"), F.count(F.lit(1)).alias("n")
     )
 
@@ -356,7 +372,7 @@ def with_quantile_bins(df: DataFrame, prob: str, by: Sequence[str], bins: int) -
 def calibration_summary(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
     """n, positive rate, Brier score and ECE from one aggregation per bin."""
     keys = list(by)
-    per_bin = df.where(F.col(prob).isNotNull()).groupBy(*keys, uniform_bin(prob).alias("bin")).agg(
+    per_bin = df.where(valid(prob, label)).groupBy(*keys, uniform_bin(prob).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(label).cast("double")).alias("y"),
         F.sum(prob).alias("p"),
@@ -387,8 +403,8 @@ def pool(df: DataFrame, entity: str = "stay_id", label: str = "label", prob: str
     """Highest score and label per entity. ``missing="zero"`` counts a missing score as 0."""
     if missing not in ("drop", "zero"):
         raise ValueError(f"unknown policy {missing!r}")
-    p = F.coalesce(F.col(prob), F.lit(0.0)) if missing == "zero" else F.col(prob)
-    src = df if missing == "zero" else df.where(F.col(prob).isNotNull())
+    p = F.when(valid(prob), F.col(prob)).otherwise(F.lit(0.0)) if missing == "zero" else F.col(prob)
+    src = df if missing == "zero" else df.where(valid(prob))
     return src.groupBy(*by, entity).agg(F.max(label).alias(label), F.max(p).alias(prob))
 
 
@@ -416,7 +432,7 @@ def join_scores(base: DataFrame, scores: DataFrame, keys: Sequence[str] = ("stay
     """Base rows with their score; rows without one are dropped, set to 0, or kept (``keep``)."""
     joined = base.join(scores.select(*keys, prob), list(keys), "left")
     if missing == "drop":
-        return joined.where(F.col(prob).isNotNull())
+        return joined.where(valid(prob))
     return joined.fillna(0.0, [prob]) if missing == "zero" else joined
 
 

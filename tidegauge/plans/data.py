@@ -15,6 +15,7 @@ VARIABLES = ["click", "error", "purchase", "signup", "view"]
 WINDOWS = [6, 24]
 HORIZONS = [24, 48]
 STAY_HOURS = 240
+PAD_HOURS = 6
 START_AFTER = 6
 THRESHOLD = 0.6
 
@@ -63,6 +64,11 @@ def inside(spark: SparkSession, sf: str, pad: float = 0.0) -> DataFrame:
     return extract.within_stay(series(spark, sf), padded, "stay_id", "charttime")
 
 
+def extracted(spark: SparkSession, sf: str) -> DataFrame:
+    """What features are made from: readings inside the padded stay of a cohort entity, and no others."""
+    return inside(spark, sf, PAD_HOURS)
+
+
 def conditions() -> dict:
     v = F.col("variable")
     return {
@@ -95,6 +101,10 @@ INSIDE = (
     "inside AS (SELECT s.* FROM series s JOIN stays t ON s.stay_id = t.stay_id "
     "AND s.charttime BETWEEN t.icu_in AND t.icu_out)"
 )
+EXTRACTED = (
+    "extracted AS (SELECT s.* FROM series s JOIN stays t ON s.stay_id = t.stay_id "
+    f"AND s.charttime BETWEEN t.icu_in - INTERVAL {PAD_HOURS} HOUR AND t.icu_out + INTERVAL {PAD_HOURS} HOUR)"
+)
 FIRSTS = (
     "firsts AS (SELECT stay_id, min(charttime) FILTER (variable = 'error' AND value > 60) AS vaso_time, "
     "min(charttime) FILTER (variable = 'signup' AND value > 80) AS imv_time, "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions import parsing, timefn
-from tidegauge.functions.ordered import GROUP_LIMIT_MAX, hash60, head, previous_value, quantiles, running_sums, value_bucket
+from tidegauge.functions.ordered import hash60, head, previous_value, quantiles, running_sums, value_bucket
 from tidegauge.functions.scoring import clip, edges_at_or_below, interpolate, logit, platt
 from tidegauge.functions.vocab import DRUG_NAMES, FEATURE_GROUPS
 from tidegauge.operators import cohort, dictionary, events, evaluate, extract, features, model, quality
@@ -556,11 +556,11 @@ def w4_small(spark, sf):
     return head(o, ["o_orderstatus"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 50).select("o_orderkey", "o_orderdate")
 
 
-@query("w4_head_per_group_large", sql([], _HEAD_SQL.format(n=GROUP_LIMIT_MAX + 1400)))
+@query("w4_head_per_group_large", sql([], _HEAD_SQL.format(n=1500)))
 def w4_large(spark, sf):
     """A large head of few groups is ranked by buckets, so no group is one task."""
     o = d.table(spark, sf, "orders").withColumn("b", -value_bucket("o_totalprice"))
-    return head(o, ["o_orderstatus"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], GROUP_LIMIT_MAX + 1400, ["b"]).select("o_orderkey", "o_orderdate")
+    return head(o, ["o_orderstatus"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 1500, ["b"]).select("o_orderkey", "o_orderdate")
 
 
 @query("w5_forward_fill", sql([], "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events", ["last_purchase"]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scoring import platt
@@ -60,10 +63,10 @@ def e1(spark, sf):
     return evaluate.rank_metrics(d.scored(spark, sf))
 
 
-@query("e1_rank_metrics_doc_labels", sql(["docs AS (SELECT l.quality AS label, least(n_chars, 20000) / 20000.0 AS prob FROM labels l JOIN documents t ON l.doc_id = t.doc_id)"], rank_sql("docs"), ["auroc", "ap", "pos_rate"], ["n"]))
+@query("e1_rank_metrics_doc_labels", sql(["docs AS (SELECT l.quality AS label, n_chars / (n_chars + 2000.0) AS prob FROM labels l JOIN documents t ON l.doc_id = t.doc_id)"], rank_sql("docs"), ["auroc", "ap", "pos_rate"], ["n"]))
 def e1_docs(spark, sf):
     """An imbalanced label with the document length as score."""
-    t = d.table(spark, sf, "documents").select("doc_id", (F.least("n_chars", F.lit(20000)) / 20000.0).alias("prob"))
+    t = d.table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / (F.col("n_chars") + 2000.0)).alias("prob"))
     return evaluate.rank_metrics(d.table(spark, sf, "labels").join(t, "doc_id").withColumnRenamed("quality", "label"))
 
 
@@ -99,19 +102,41 @@ def e5(spark, sf):
     return evaluate.prf(evaluate.confusion(d.scored(spark, sf), T))
 
 
-@query(
-    "e6_threshold_report",
-    sql([d.SCORED],
-        f"SELECT TP, FP, TN, FN, {T} AS threshold, TP / greatest(TP + FN, 1e-12) AS sensitivity, TN / greatest(TN + FP, 1e-12) AS specificity, TP / greatest(TP + FP, 1e-12) AS ppv, "
-        "TN / greatest(TN + FN, 1e-12) AS npv, (TP + TN) / greatest(TP + FP + TN + FN, 1e-12) AS accuracy, 2.0 * TP / greatest(2 * TP + FP + FN, 1e-12) AS f1, "
-        f"TP / n - FP / n * ({T} / (1 - {T})) AS net_benefit, (TP + FN) / n - (1 - (TP + FN) / n) * ({T} / (1 - {T})) AS treat_all "
-        f"FROM (SELECT CAST(TP AS DOUBLE) AS TP, CAST(FP AS DOUBLE) AS FP, CAST(TN AS DOUBLE) AS TN, CAST(FN AS DOUBLE) AS FN, CAST(TP + FP + TN + FN AS DOUBLE) AS n FROM ({confusion_sql(T)}) c) z",
-        ["threshold", "sensitivity", "specificity", "ppv", "npv", "accuracy", "f1", "net_benefit", "treat_all"], COUNTS),
-)
+def _report_sql(thr: float) -> str:
+    odds = "({c} / (1 - {c}))".format(c=f"greatest(least(CAST({thr} AS DOUBLE), 1 - 1e-6), 1e-6)")
+    return (
+        f"SELECT TP, FP, TN, FN, n AS N, CAST({thr} AS DOUBLE) AS threshold, (TP + FN) / n AS prevalence, TP / greatest(TP + FN, 1e-12) AS sensitivity, TN / greatest(TN + FP, 1e-12) AS specificity, "
+        "TP / greatest(TP + FP, 1e-12) AS ppv, TN / greatest(TN + FN, 1e-12) AS npv, (TP + TN) / greatest(TP + FP + TN + FN, 1e-12) AS accuracy, 2.0 * TP / greatest(2 * TP + FP + FN, 1e-12) AS f1, "
+        f"100 * (TP / n - FP / n * {odds}) AS net_benefit_per100, 100 * ((TP + FN) / n - (1 - (TP + FN) / n) * {odds}) AS treat_all_per100 "
+        f"FROM (SELECT CAST(TP AS DOUBLE) AS TP, CAST(FP AS DOUBLE) AS FP, CAST(TN AS DOUBLE) AS TN, CAST(FN AS DOUBLE) AS FN, CAST(TP + FP + TN + FN AS DOUBLE) AS n FROM ({confusion_sql(thr)}) c) z"
+    )
+
+
+REPORT = ["threshold", "prevalence", "sensitivity", "specificity", "ppv", "npv", "accuracy", "f1", "net_benefit_per100", "treat_all_per100"]
+
+
+@query("e6_threshold_report", sql([d.SCORED], _report_sql(T), REPORT, [*COUNTS, "N"]))
 def e6(spark, sf):
     return evaluate.threshold_report(evaluate.confusion(d.scored(spark, sf), T), T)
 
 
+@query("e6_threshold_report_extremes", sql([d.SCORED], f"{_report_sql(0.0)} UNION ALL {_report_sql(1.0)}", REPORT, [*COUNTS, "N"]))
+def e6_extremes(spark, sf):
+    """Thresholds 0 and 1, with scores that are NaN beside the real ones: those are not counted."""
+    s = d.scored(spark, sf)
+    bad = s.withColumn("prob", F.lit(float("nan")))
+    both = s.unionByName(bad)
+    return reduce(DataFrame.unionByName, [evaluate.threshold_report(evaluate.confusion(both, t), t) for t in (0.0, 1.0)])
+
+
+@query("e1_rank_metrics_nan_scores", sql([d.SCORED], rank_sql(), ["auroc", "ap", "pos_rate"], ["n"]))
+def e1_nan(spark, sf):
+    """Rows whose score is NaN or null change nothing."""
+    s = d.scored(spark, sf)
+    bad = s.withColumn("prob", F.when(F.col("label") == 1, F.lit(float("nan"))))
+    return evaluate.rank_metrics(s.unionByName(bad))
+
+
 @query("e7_brier", sql([d.SCORED], "SELECT avg(pow(prob - label, 2)) AS brier FROM scored", ["brier"]))
 def e7(spark, sf):
     return evaluate.brier(d.scored(spark, sf))
@@ -497,10 +522,13 @@ def _event_stream(spark, sf):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("t2_streaming_alerts", REFRACTORY)
+@query("t2_streaming_alerts", f"SELECT * FROM ({REFRACTORY}) r WHERE alert_time <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def t2(spark, sf):
-    """The same as a stream, drained into files."""
-    return feeds.drain(feeds.alert_feed(_event_scores(_event_stream(spark, sf)), 30.0, 24), "alerts")
+    """The same as a stream of several triggers with rows out of order; what the watermark has not passed is still open."""
+    rows = d.table(spark, sf, "events").select("user_id", "ts", "value")
+    folder = feeds.arriving(rows, "ts")
+    s = feeds.read_stream(spark, folder, "user_id long, ts timestamp, value double", files_per_trigger=1)
+    return feeds.drain(feeds.alert_feed(_event_scores(s), 30.0, 24), "alerts")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.ordered import hash60
 from tidegauge.functions.timefn import floor_hour, plus_hours
 from tidegauge.functions.vocab import UPGRADE_RELATIVE
-from tidegauge.operators import events, features, grid, split
+from tidegauge.operators import dictionary, events, extract, features, grid, split
 from tidegauge.plans import data as d
 from tidegauge.plans.catalog import query, sql
 
@@ -63,16 +63,42 @@ def g7(spark, sf):
     return grid.leak_check(s, "charttime", "cutoff")
 
 
-@query("g7_leak_check_ceil", sql([], "SELECT TRUE AS ok, count(*) * 0 AS n_violations FROM events", ints=["n_violations"]))
+def _newest_sql(hour: str) -> str:
+    """For each grid row, the newest raw reading whose booked hour lies in its last six hours."""
+    return (
+        "newest AS (SELECT g.stay_id, g.index_time, max(s.charttime) AS newest FROM grid g JOIN "
+        f"(SELECT stay_id, charttime, {hour} AS hour FROM extracted) s ON s.stay_id = g.stay_id AND s.hour > g.index_time - INTERVAL 6 HOUR AND s.hour <= g.index_time GROUP BY 1, 2)"
+    )
+
+
+LEAK = "SELECT count(*) FILTER (newest > index_time) = 0 AS ok, count(*) FILTER (newest > index_time) AS n_violations FROM newest"
+
+
+def _frames(spark, sf, bucket):
+    """The newest raw reading that the six-hour frame of each grid row takes in, by the frames of the features."""
+    s = d.extracted(spark, sf).select("stay_id", "charttime", F.lit("newest").alias("variable"), F.unix_micros("charttime").cast("double").alias("value"))
+    latest = s.groupBy("stay_id", features.bucket_hour("charttime", bucket).alias("hour")).agg(F.max("value").alias("value"))
+    latest = latest.select("stay_id", F.col("hour").alias("charttime"), F.lit("newest").alias("variable"), "value")
+    f = features.window_stats(d.grid_points(spark, sf).select("stay_id", "index_time"), latest, ["newest"], [6], ["max"])
+    return f.where(F.col("newest__6h__max").isNotNull()).withColumn("newest", F.timestamp_micros(F.col("newest__6h__max").cast("long")))
+
+
+@query("g7_frame_leak_floor", sql([*d.TIMELINE, d.EXTRACTED, _newest_sql("date_trunc('hour', charttime)")], LEAK, ints=["n_violations"]))
+def g7_floor(spark, sf):
+    """Frames of hours booked downwards take in minutes after their index time."""
+    return grid.leak_check(_frames(spark, sf, "floor"), "newest", "index_time")
+
+
+@query("g7_leak_check_ceil", sql([*d.TIMELINE, d.EXTRACTED, _newest_sql("CASE WHEN date_trunc('hour', charttime) = charttime THEN charttime ELSE date_trunc('hour', charttime) + INTERVAL 1 HOUR END")], LEAK, ints=["n_violations"]))
 def g7_ceil(spark, sf):
-    s = d.series(spark, sf).withColumn("cutoff", features.bucket_hour("charttime", "ceil"))
-    return grid.leak_check(s, "charttime", "cutoff")
+    """Frames of hours booked upwards never do."""
+    return grid.leak_check(_frames(spark, sf, "ceil"), "newest", "index_time")
 
 
 # -- trailing windows ----------------------------------------------------------------------------------------
 
 # Hourly means, the variables each stay has, and statistics per (stay, grid time, variable) by a plain range join.
-HOURLY = "hourly AS (SELECT stay_id, variable, {hour} AS hour, avg(value) AS mean FROM series GROUP BY 1, 2, 3)"
+HOURLY = "hourly AS (SELECT stay_id, variable, {hour} AS hour, avg(value) AS mean FROM extracted GROUP BY 1, 2, 3)"
 FLOOR_HOUR = "date_trunc('hour', charttime)"
 CEIL_HOUR = "CASE WHEN date_trunc('hour', charttime) = charttime THEN charttime ELSE date_trunc('hour', charttime) + INTERVAL 1 HOUR END"
 SEEN = "seen AS (SELECT DISTINCT stay_id, variable FROM hourly)"
@@ -117,7 +143,7 @@ def _qualified(expr: str, w: int) -> str:
 
 
 def window_ctes(windows, hour=FLOOR_HOUR):
-    return [*d.TIMELINE, HOURLY.format(hour=hour), SEEN, *[tall_sql(w) for w in windows]]
+    return [*d.TIMELINE, d.EXTRACTED, HOURLY.format(hour=hour), SEEN, *[tall_sql(w) for w in windows]]
 
 
 _W1, _W1_NAMES = wide_sql(d.WINDOWS, features.STATS)
@@ -125,7 +151,7 @@ _W1, _W1_NAMES = wide_sql(d.WINDOWS, features.STATS)
 
 def _windows(spark, sf, **kw):
     g = d.grid_points(spark, sf).select("stay_id", "index_time")
-    return features.window_stats(g, d.series(spark, sf), d.VARIABLES, **kw)
+    return features.window_stats(g, d.extracted(spark, sf), d.VARIABLES, **kw)
 
 
 @query("w1_trailing_windows", sql(window_ctes(d.WINDOWS), _W1, _W1_NAMES))
@@ -148,7 +174,7 @@ def j8(spark, sf):
     """What each grid point sees of the last 24 hours; a union and a range frame instead of a range join."""
     f = _windows(spark, sf, windows=[24], stats=["count"])
     total = sum((F.coalesce(F.col(f"{v}__24h__count"), F.lit(0.0)) for v in d.VARIABLES[1:]), F.coalesce(F.col(f"{d.VARIABLES[0]}__24h__count"), F.lit(0.0)))
-    seen = d.series(spark, sf).select("stay_id").distinct()
+    seen = d.extracted(spark, sf).select("stay_id").distinct()
     return f.join(seen, "stay_id", "left_semi").select("stay_id", "index_time", total.cast("long").alias("hours_with_data"))
 
 
@@ -204,7 +230,60 @@ def flagship(spark, sf):
 
     Labels depend on the grid row alone, so they are added to the feature rows and nothing is joined back.
     """
-    f = features.window_stats(d.grid_points(spark, sf), d.series(spark, sf), d.VARIABLES, d.WINDOWS)
+    f = features.window_stats(d.grid_points(spark, sf), d.extracted(spark, sf), d.VARIABLES, d.WINDOWS)
+    return grid.label(f, "first_event_time", d.HORIZONS)
+
+
+# Dictionary words to categories, and the items that are readings; the words are those of the given item names.
+EVENT_WORDS = {"vasopressors": {"plate": [r"\bplate\b"], "bolt": [r"\bbolt\b"]}, "imv": {"rod": [r"\brod\b"]}, "crrt": {"ring": [r"\bring\b"]}}
+READING_WORDS = {"red": ["red"], "blue": ["blue"], "green": ["green"], "large": ["large"], "small": ["small"]}
+
+
+def _words_sql(bank):
+    return ", ".join(f"('{name}', {i}, '{'|'.join(words)}')" for i, (name, words) in enumerate(bank.items()))
+
+
+_RAW = [
+    "itemdict AS (SELECT DISTINCT category, name, p_partkey AS itemid FROM (SELECT p_partkey, concat_ws(' | ', p_name, p_brand, p_type) AS t FROM part) p, (VALUES "
+    + ", ".join(f"('{c}', '{n}', '{w[0]}')" for c, bank in EVENT_WORDS.items() for n, w in bank.items())
+    + ") b(category, name, pattern) WHERE regexp_matches(t, '(?i)' || pattern))",
+    f"vars AS (SELECT p_partkey AS itemid, arg_max(name, o) AS variable FROM part, (VALUES {_words_sql(READING_WORDS)}) b(name, o, pattern) WHERE regexp_matches(lower(trim(p_name)), pattern) GROUP BY 1)",
+    "raw AS (SELECT user_id AS stay_id, ts, CAST(props ->> '$.k' AS BIGINT) AS itemid, event_type, value FROM events)",
+    d.STAYS,
+    "tagged AS (SELECT stay_id, ts, category, event_type FROM raw JOIN (SELECT DISTINCT itemid, category FROM itemdict) c USING (itemid) WHERE (event_type IN ('error', 'purchase') AND value > 60) OR event_type = 'signup')",
+    "tagged_firsts AS (SELECT stay_id, min(ts) FILTER (event_type <> 'signup' AND category = 'vasopressors') AS vaso_time, min(ts) FILTER (event_type = 'signup' AND category = 'imv') AS imv_time, "
+    "min(ts) FILTER (event_type = 'signup' AND category = 'crrt') AS crrt_time FROM tagged GROUP BY 1)",
+    "firsts AS (SELECT *, least(vaso_time, imv_time, crrt_time) AS first_event_time FROM tagged_firsts)",
+    d.FULLGRID,
+    d.GRID,
+    "extracted AS (SELECT r.stay_id, r.ts AS charttime, variable, value FROM raw r JOIN vars USING (itemid) JOIN stays t ON r.stay_id = t.stay_id "
+    f"AND r.ts BETWEEN t.icu_in - INTERVAL {d.PAD_HOURS} HOUR AND t.icu_out + INTERVAL {d.PAD_HOURS} HOUR WHERE event_type IN ('click', 'view') AND value IS NOT NULL)",
+    HOURLY.format(hour=FLOOR_HOUR),
+    SEEN,
+    *[tall_sql(w) for w in d.WINDOWS],
+    d.LABELS,
+]
+_RAW_WIDE, _RAW_NAMES = wide_sql(d.WINDOWS, features.STATS, tuple(READING_WORDS))
+
+
+@query("raw_to_trainset", sql(_RAW, _FLAG.format(_RAW_WIDE), _RAW_NAMES, ["horizon_hours", "label"]))
+def raw_to_trainset(spark, sf):
+    """The whole way by the library's operators: item dictionary and reading names from labels, first events from raw
+    inputs and procedures, cohort stays, readings extracted inside padded stays, hourly grid, windows, labels."""
+    parts = d.part_items(spark, sf)
+    events_of = dictionary.event_dictionary(parts, EVENT_WORDS, ["label", "abbreviation", "category"])
+    variables = dictionary.last_wins(dictionary.match_labels(parts, READING_WORDS))
+    raw = d.items(spark, sf)
+    kinds = F.col("event_type")
+    dose = F.greatest(F.col("value") - 60, F.lit(0.0))
+    inputs = raw.where(kinds.isin("error", "purchase")).select("stay_id", "itemid", "starttime", F.lit(None).cast("double").alias("rate"), dose.alias("amount"))
+    procedures = raw.where(kinds == "signup").select("stay_id", "itemid", "starttime")
+    chart = raw.where(kinds.isin("click", "view")).select("stay_id", F.col("stay_id").alias("hadm_id"), F.col("starttime").alias("charttime"), "itemid", F.col("value").alias("valuenum"))
+    cohort = d.stays(spark, sf).withColumn("hadm_id", F.col("stay_id"))
+    firsts = events.detect(cohort, inputs, procedures, events_of)
+    g = grid.hourly(events.attach(cohort, firsts.select("stay_id", "first_event_time"), "stay_id"), start_after_h=d.START_AFTER, event="first_event_time")
+    readings = extract.vitals(chart, cohort, variables, d.PAD_HOURS)
+    f = features.window_stats(g.select("stay_id", "index_time", "first_event_time"), readings, list(READING_WORDS), d.WINDOWS)
     return grid.label(f, "first_event_time", d.HORIZONS)
 
 
@@ -217,14 +296,14 @@ _D1, _D1_NAMES = wide_sql([12], ["median", "iqr", "slope", "delta_pct"], ["view"
 def d1(spark, sf):
     """Median, interquartile range, slope and relative change over 12 hours."""
     g = d.grid_points(spark, sf).select("stay_id", "index_time")
-    s = d.series(spark, sf).where(F.col("variable").isin("view", "error"))
+    s = d.extracted(spark, sf).where(F.col("variable").isin("view", "error"))
     return features.window_stats(g, s, ["view", "error"], [12], ["median", "iqr", "slope", "delta_pct"])
 
 
 @query(
     "d1_missing_indicator",
-    sql(d.TIMELINE,
-        "SELECT g.stay_id, g.index_time, CASE WHEN EXISTS (SELECT 1 FROM series s WHERE s.stay_id = g.stay_id AND s.variable = 'error' "
+    sql([*d.TIMELINE, d.EXTRACTED],
+        "SELECT g.stay_id, g.index_time, CASE WHEN EXISTS (SELECT 1 FROM extracted s WHERE s.stay_id = g.stay_id AND s.variable = 'error' "
         "AND date_trunc('hour', s.charttime) > g.index_time - INTERVAL 12 HOUR AND date_trunc('hour', s.charttime) <= g.index_time) THEN 0.0 ELSE 1.0 END AS error__12h__missing FROM grid g",
         ["error__12h__missing"]),
 )
@@ -294,10 +373,10 @@ _D7, _D7_NAMES = wide_sql([24], ["mean", "last"], ["outflow", "drug_rate"])
 _D7_SERIES = "series AS (SELECT user_id AS stay_id, ts AS charttime, CASE event_type WHEN 'purchase' THEN 'outflow' WHEN 'signup' THEN 'drug_rate' ELSE event_type END AS variable, value FROM events)"
 
 
-@query("d7_output_and_intervention_features", sql([_D7_SERIES, d.STAYS, d.INSIDE, d.FIRSTS.replace("'signup'", "'drug_rate'").replace("'purchase'", "'outflow'"), d.FULLGRID, d.GRID, HOURLY.format(hour=FLOOR_HOUR), SEEN, tall_sql(24)], _D7, _D7_NAMES))
+@query("d7_output_and_intervention_features", sql([_D7_SERIES, d.STAYS, d.INSIDE, d.FIRSTS.replace("'signup'", "'drug_rate'").replace("'purchase'", "'outflow'"), d.FULLGRID, d.GRID, d.EXTRACTED, HOURLY.format(hour=FLOOR_HOUR), SEEN, tall_sql(24)], _D7, _D7_NAMES))
 def d7(spark, sf):
     """More variables in the series are more columns; the operator is the same."""
     name = F.when(F.col("variable") == "purchase", "outflow").when(F.col("variable") == "signup", "drug_rate").otherwise(F.col("variable"))
-    s = d.series(spark, sf).withColumn("variable", name)
+    s = d.extracted(spark, sf).withColumn("variable", name)
     g = d.grid_points(spark, sf).select("stay_id", "index_time")
     return features.window_stats(g, s, ["outflow", "drug_rate"], [24], ["mean", "last"])

@@ -60,6 +60,15 @@ def report(df: DataFrame, path: str, fmt: str = "json", if_exists: str = "overwr
         raise ValueError(f"unknown report format {fmt!r}")
 
 
+#: What a release record holds where there is no daily cap: a fixed value of the record's format.
+STORED_NO_CAP = 999_999
+
+
+def stored_cap(value: str) -> int | None:
+    """The cap of a release record as the alert operators take it."""
+    return None if int(value) == STORED_NO_CAP else int(value)
+
+
 def release_table(
     spark: SparkSession,
     name: str,
@@ -68,7 +77,7 @@ def release_table(
     threshold: float,
     features: Sequence[str],
     refractory_hours: int = 24,
-    daily_alert_cap: int = 999_999,
+    daily_alert_cap: int | None = None,
     metrics: DataFrame | None = None,
     lead: DataFrame | None = None,
 ) -> DataFrame:
@@ -78,7 +87,7 @@ def release_table(
         "horizon_hours": horizon_hours,
         "threshold_window": threshold,
         "refractory_hours": refractory_hours,
-        "daily_alert_cap": daily_alert_cap,
+        "daily_alert_cap": STORED_NO_CAP if daily_alert_cap is None else daily_alert_cap,
         "feature_count": len(features),
         "features": ",".join(features),
     }

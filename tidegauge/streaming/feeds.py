@@ -55,41 +55,56 @@ def hourly_means(
 def alert_feed(
     stream: DataFrame, thr: float, refractory_h: float = 24, entity: str = "stay_id", ts: str = "index_time", prob: str = "prob", delay: str = "1 hour"
 ) -> DataFrame:
-    """Alerts of a scored stream with refractory suppression.
+    """Alerts of a scored stream with refractory suppression, the same whatever order rows arrive in within ``delay``.
 
-    Rows behind the watermark are dropped. Per entity the state is one number, the time of the last alert,
-    and it is forgotten once the watermark has passed the silent period. Within one micro-batch the rows of
-    an entity arrive in pieces; hits are merged and put in order before they are judged.
+    A hit waits in its entity's state until the watermark has passed it, since an earlier hit that is still on its way
+    would silence it. Then waiting hits are judged in time order. The state is the waiting hits (those of the last
+    ``delay``) and the end of the running silence; event-time timers bring it up when no new row does, and it is
+    forgotten once nothing waits and the silence is over. Rows behind the watermark are dropped.
     """
     wait = int(refractory_h * 3_600_000_000)
-    hits = (
-        stream.withWatermark(ts, delay)
-        .where(F.col(prob) >= F.lit(float(thr)))
-        .select(F.col(entity).alias("entity"), F.col(ts).alias("at"))
-        .dropDuplicatesWithinWatermark(["entity", "at"])
-    )
+    hits = stream.withWatermark(ts, delay).where(F.col(prob) >= F.lit(float(thr))).select(F.col(entity).alias("entity"), F.col(ts).alias("at"))
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = np.sort(np.concatenate([b["at"].astype("datetime64[us]").to_numpy().astype("int64") for b in batches]))
-        until = state.get[0] if state.exists else None
+        until, waiting = state.get if state.exists else (None, [])
+        known = [np.asarray(waiting, dtype=np.int64)]
+        if not state.hasTimedOut:
+            known += [b["at"].astype("datetime64[us]").to_numpy().astype("int64") for b in batches]
+        times = np.unique(np.concatenate(known))
+        passed_ms = state.getCurrentWatermarkMs()
+        ready, waiting = times[times <= passed_ms * 1000], times[times > passed_ms * 1000]
         kept = []
-        at = 0 if until is None else int(np.searchsorted(times, until))
-        while at < len(times):
-            kept.append(times[at])
-            until = int(times[at]) + wait
-            at = int(np.searchsorted(times, until))
-        if kept:
-            state.update((until,))
-        if state.exists:
-            floor_ms = state.getCurrentWatermarkMs() + 1
-            state.setTimeoutTimestamp(max(int(state.get[0] // 1000), floor_ms))
+        at = 0 if until is None else int(np.searchsorted(ready, until))
+        while at < len(ready):
+            kept.append(int(ready[at]))
+            until = kept[-1] + wait
+            at = int(np.searchsorted(ready, until))
+        if len(waiting) or (until is not None and until > passed_ms * 1000):
+            state.update((until, waiting.tolist()))
+            due = int(waiting[0]) if len(waiting) else until
+            state.setTimeoutTimestamp(max(-(-due // 1000), passed_ms + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"entity": [key[0]] * len(kept), "alert_us": kept})
 
     kind = stream.schema[entity].dataType.simpleString()
     kept = hits.groupBy("entity").applyInPandasWithState(
-        judge, f"entity {kind}, alert_us long", "until long", "append", GroupStateTimeout.EventTimeTimeout
+        judge, f"entity {kind}, alert_us long", "until long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
     return kept.select(F.col("entity").alias(entity), F.timestamp_micros("alert_us").alias("alert_time"))
+
+
+def arriving(df: DataFrame, ts: str, slices: int = 5, jitter_minutes: int = 50, name: str = "arriving") -> str:
+    """Write rows as ``slices`` files in the order of a jittered time, one after the other; the folder to stream from.
+
+    A reader that takes one file a trigger then sees rows out of order by up to the jitter.
+    """
+    path = new_path(df.sparkSession, name)
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(*df.columns), F.lit(jitter_minutes * 60))
+    timed = df.withColumn("__s", seconds)
+    ends = timed.agg(F.min("__s").alias("lo"), F.max("__s").alias("hi")).first()
+    width = max(1, -(-(ends["hi"] - ends["lo"] + 1) // slices)) if ends["lo"] is not None else 1
+    for i in range(slices if ends["lo"] is not None else 0):
+        part = timed.where(F.floor((F.col("__s") - ends["lo"]) / width) == i).drop("__s")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
