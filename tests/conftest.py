@@ -16,6 +16,7 @@ def spark():
         "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g"}
     )
     s.sparkContext.setLogLevel("ERROR")
+    session.local_work_dir(s)
     yield s
     s.stop()
 

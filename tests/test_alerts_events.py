@@ -44,23 +44,39 @@ def test_refractory_on_a_hot_entity_and_odd_gaps(spark):
     assert got == want
 
 
+def passed(spark, rows, kept):
+    """What a stream can have judged: alerts up to an hour before the newest row."""
+    end = max(at(h) for _, h, _ in rows) - timedelta(hours=1)
+    return {tuple(r) for r in kept.collect() if r["alert_time"] <= end}
+
+
 def test_streamed_alerts_equal_the_batch(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(int(s), int(h), float(p)) for s, h, p in zip(rng.integers(0, 5, 400), np.sort(rng.integers(0, 500, 400)), rng.random(400))]
     for i in range(0, 400, 100):
         scored(spark, rows[i : i + 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = feeds.read_stream(spark, str(tmp_path / "in"), "stay_id long, index_time timestamp, prob double")
+    stream = feeds.read_stream(spark, str(tmp_path / "in"), "stay_id long, index_time timestamp, prob double", files_per_trigger=1)
     got = feeds.drain(feeds.alert_feed(stream, 0.5, 24), "t")
     want = alerts.suppress(scored(spark, rows), 0.5, 24)
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert {tuple(r) for r in got.collect()} == passed(spark, rows, want)
+
+
+def test_a_hit_that_comes_later_but_is_earlier_wins(spark, tmp_path):
+    """Batch 1 has a hit at 10:00; batch 2 brings one at 09:30 and one at 09:45 of the next day; silence is 24 hours."""
+    minutes = [[(1, 600)], [(1, 570), (1, 24 * 60 + 585)], [(2, 4000)]]
+    src = str(tmp_path / "in")
+    for part in minutes:
+        df = spark.createDataFrame([(s, BASE + timedelta(minutes=m), 1.0) for s, m in part], "stay_id long, index_time timestamp, prob double")
+        df.coalesce(1).write.mode("append").parquet(src)
+    stream = feeds.read_stream(spark, src, "stay_id long, index_time timestamp, prob double", files_per_trigger=1)
+    got = {tuple(r) for r in feeds.drain(feeds.alert_feed(stream, 0.5, 24), "t").collect()}
+    assert got == {(1, BASE + timedelta(minutes=570)), (1, BASE + timedelta(minutes=24 * 60 + 585))}
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
     src = str(tmp_path / "in")
-    paths = []
-    for i, rows in enumerate(([(1, 100, 1.0)], [(1, 130, 1.0)], [(2, 10, 1.0)])):
+    for i, rows in enumerate(([(1, 100, 1.0)], [(1, 130, 1.0)], [(2, 10, 1.0)], [(3, 500, 1.0)])):
         scored(spark, rows).coalesce(1).write.mode("append").parquet(src)
-        paths.append(i)
         if i == 0:
             stream = feeds.read_stream(spark, src, "stay_id long, index_time timestamp, prob double", files_per_trigger=1)
             feed = feeds.alert_feed(stream, 0.5, 24)
@@ -74,7 +90,8 @@ def test_daily_cap_keeps_the_earliest(spark):
     df = scored(spark, [(1, 5, 0.9), (2, 3, 0.9), (3, 4, 0.9), (4, 30, 0.9), (5, 2, 0.1)])
     assert {r["stay_id"] for r in alerts.batch(df, 0.5, daily_cap=2).collect()} == {2, 3, 4}
     assert alerts.batch(df, 0.5).count() == 5
-    big = alerts.daily_capped(alerts.batch(df, 0.5), 1500)
+    big = alerts.daily_capped(alerts.batch(df, 0.5), 1_500_000)
+    assert alerts.batch(df, 0.5, daily_cap=2_000_000).count() == 4  # a large cap is a cap
     assert {r["stay_id"] for r in big.collect()} == {1, 2, 3, 4}
 
 

@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.functions.parsing import to_long
 from tidegauge.functions.timefn import hours_between
@@ -35,11 +36,11 @@ def length_of_stay(los_days: Column | str, start: Column | str, end: Column | st
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each group by ``order``, which should end in a unique tiebreak.
 
-    A ``min_by`` keeps one row per group on the map side, so a huge group costs no more than a small one.
+    Spark prunes ``row_number() = 1`` before the shuffle, so a task sends one row of a group and a huge group costs no
+    more than a small one.
     """
-    rest = [c for c in df.columns if c not in group]
-    picked = df.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-    return picked.select(*[F.col(c) if c in group else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def build(
@@ -54,15 +55,15 @@ def build(
     """One row per subject: the first stay among coded admissions of adults, if it is long enough.
 
     The length filter comes after the first stay is chosen, so a short first stay drops the subject.
-    Only the first stay of an admission can be the first of its subject, so stays are cut down to one per
-    admission, and codes to distinct admissions, before anything is joined: every join is one to one.
+    Coded admissions and adults select first; the stays that remain are cut down to one per admission, which joins its
+    admission one to one.
     """
     adults = patients.where(F.col("anchor_age") >= min_age).select("subject_id", "anchor_age", "gender")
     coded = diagnoses.where(code_match("icd_code", "icd_version", prefixes)).select("subject_id", "hadm_id").distinct()
-    opening = first_per_group(stays, ["subject_id", "hadm_id"], ["intime", "stay_id"])
+    wanted = coded.join(adults.select("subject_id"), "subject_id", "left_semi")
+    opening = first_per_group(stays.join(wanted, ["subject_id", "hadm_id"], "left_semi"), ["subject_id", "hadm_id"], ["intime", "stay_id"])
     chosen = (
-        opening.join(coded, ["subject_id", "hadm_id"], "left_semi")
-        .join(admissions.select("subject_id", "hadm_id", "admittime", "dischtime"), ["subject_id", "hadm_id"])
+        opening.join(admissions.select("subject_id", "hadm_id", "admittime", "dischtime"), ["subject_id", "hadm_id"])
         .join(adults, "subject_id")
     )
     first = first_per_group(chosen, ["subject_id"], ["intime", "stay_id"])

@@ -80,9 +80,17 @@ def missingness(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> DataFra
 def numeric_profile(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> DataFrame:
     """``describe`` of every numeric column plus its missing rate, one row per column."""
     cols = numeric_columns(df, exclude)
-    tall = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    rates = tall.groupBy("column").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
-    return rates.join(describe(tall, "value", ["column"]), "column", "left")
+    wide = df.select([F.col(c).cast("double").alias(c) for c in cols])
+    # plain statistics of all columns are one aggregation; only the quantiles need a row for each value
+    flat = wide.agg(*[
+        F.struct(
+            F.lit(c).alias("column"), F.avg(F.col(c).isNull().cast("double")).alias("missing_rate"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")
+        ).alias(f"c{i}")
+        for i, c in enumerate(cols)
+    ])
+    plain = flat.select(F.inline(F.array(*[f"c{i}" for i in range(len(cols))])))
+    tall = wide.unpivot([], cols, "column", "value")
+    return plain.join(quantiles_wide(tall, "value", DESCRIBE, ["column"]), "column", "left")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None, upper: bool = False) -> DataFrame:

@@ -63,7 +63,9 @@ def alert_feed(
     forgotten once nothing waits and the silence is over. Rows behind the watermark are dropped.
     """
     wait = int(refractory_h * 3_600_000_000)
-    hits = stream.withWatermark(ts, delay).where(F.col(prob) >= F.lit(float(thr))).select(F.col(entity).alias("entity"), F.col(ts).alias("at"))
+    # all rows move the watermark, not only hits: a condition that names the time is not pushed below it
+    hit = F.when(F.col(ts).isNotNull(), F.col(prob)) >= F.lit(float(thr))
+    hits = stream.withWatermark(ts, delay).where(hit).select(F.col(entity).alias("entity"), F.col(ts).alias("at"))
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         until, waiting = state.get if state.exists else (None, [])
@@ -82,7 +84,8 @@ def alert_feed(
         if len(waiting) or (until is not None and until > passed_ms * 1000):
             state.update((until, waiting.tolist()))
             due = int(waiting[0]) if len(waiting) else until
-            state.setTimeoutTimestamp(max(-(-due // 1000), passed_ms + 1))
+            # a timer goes off once the watermark is beyond it, and a hit is ready once the watermark has reached it
+            state.setTimeoutTimestamp(max(-(-due // 1000) - 1, passed_ms))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"entity": [key[0]] * len(kept), "alert_us": kept})
