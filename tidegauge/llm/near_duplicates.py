@@ -7,9 +7,9 @@ Every independent tree starts as one node. A node branches by selected minwise t
 coordinate of the tree, deeper ones by two coordinates that the node's own path selects, so that two sets with
 similarity s stay together along a branch with probability s and a pair at the threshold is expected to survive 1.5
 branches a level however deep a crowded node has to go. Nodes of few documents are compared exhaustively. A crowded
-node is first compared with its own centre; if that leaves all its documents in one component there is nothing left to
-find in it, else it branches further. What is still crowded after the last level (sets that agree in many coordinates
-and yet are not linked to the centre) is compared exhaustively across its components. Nothing is capped or dropped.
+node is compared with a centre of its own, and branches further unless all its documents are in one component already.
+What is still crowded after the last level (sets that agree in many coordinates and yet are not linked) is compared
+exhaustively across its components. Nothing is capped or dropped.
 
 Compared means: the minwise tokens estimate the similarity, and pairs that are far below the threshold stop there
 (chance of losing a true pair about 1e-7); the others are confirmed on the full sets. Pairs whose documents are linked
@@ -38,8 +38,10 @@ SHINGLE = 5
 PERCENT = 75
 COORDINATES = 48
 TREES = 14
-SMALL = 12
-LEVELS = 8
+SMALL = 16
+#: Ids (16 bytes each) that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
+MAX_BROADCAST = 2_000_000
+LEVELS = 14
 #: Equal coordinates of 48 that a pair needs to be confirmed; a true pair at the threshold has 36 on average.
 AGREE = 20
 
@@ -72,10 +74,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _nodes_of(rows: DataFrame, level: int) -> DataFrame:
-    """Children of crowded nodes: (node, a); ``rows`` has node, a and sig."""
+    """(node, a, c, sig) of the children of crowded nodes."""
     at = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)) for k in (0, 1)]
     children = F.array(*[F.xxhash64("node", F.lit(level), F.lit(k), c, F.element_at("sig", (c + 1).cast("int"))) for k, c in enumerate(at)])
-    return rows.select("a", F.explode(children).alias("node"))
+    return rows.select("a", "c", "sig", F.explode(children).alias("node"))
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -87,15 +89,19 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.distinct().join(x, "a").join(y, "b").filter(fits).select("a", "b")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, set) of the wanted representatives, from their whole texts."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(a, set) of the wanted (a, key), from their whole texts. Their ids are broadcast up to a checked number of them.
+
+    A row that repeats another gives its set twice, and then a link twice, which changes nothing.
+    """
     def run(batches):
         for b in batches:
             yield {"a": b["a"], "s": [shingle_hashes(token_hashes(t or ""), SHINGLE).tobytes() for t in b["text"].to_pylist()]}
 
-    some = lean(docs, ID, "text").filter(F.col(ID).isNotNull()).withColumn("key", text_key())
-    some = some.join(wanted.select(F.col("a").alias(ID), "key"), [ID, "key"], "left_semi").dropDuplicates([ID]) if "key" in wanted.columns else some
-    return map_texts(some.select(F.col(ID).alias("a"), text_of().alias("text")), run, "a long, s binary")
+    wanted = stored(wanted, "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted
+    rows = lean(docs, ID, "text").filter(F.col(ID).isNotNull()).select(F.col(ID).alias("a"), text_key().alias("key"), text_of().alias("text"))
+    return map_texts(rows.join(few, ["a", "key"], "left_semi").select("a", "text"), run, "a long, s binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,14 +145,18 @@ def _pairs_within(rows: DataFrame) -> DataFrame:
     return rows.join(other, "node").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d"))).select("a", "b")
 
 
+def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` with the component c of a; without any link so far it is a itself."""
+    return rows.withColumn("c", F.col("a")) if comp is None else rows.join(comp, "a", "left").withColumn("c", F.coalesce("c", "a"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     sketch = stored(sketches(docs), "sketches")
     one = sketch.groupBy(ID).agg(F.min_by(F.struct("key", "n", "fp1", "fp2", "sig"), "key").alias("r")).select(ID, "r.*")
     same = one.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min(ID).alias("a"), F.min_by(F.struct("key", "sig"), ID).alias("r"))
     sets = stored(same.select("a", "n", "fp1", "fp2", "r.key", "r.sig"), "sets")
-    links = _links(docs, sets)
-    comp = components(links) if links is not None else None
+    comp = _linked(docs, sets)
     base = one.select(ID, "n", "fp1", "fp2")
     reps = sets.select("a", "n", "fp1", "fp2")
     joined = base.join(reps, ["n", "fp1", "fp2"], "left")
@@ -158,50 +168,67 @@ def classes(docs: DataFrame) -> DataFrame:
     return joined.select(ID, F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col(ID) == component).alias("kept"))
 
 
-def _links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Confirmed links (a, b) that connect all linked representatives; None if there are none."""
-    found: list[DataFrame] = []
-    own = sets.select("a", F.col("a").alias("c"))
-    tree = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda r: F.xxhash64(F.lit("tree"), r, F.element_at("sig", r)))
-    nodes = sets.select("a", F.explode(tree).alias("node"))
-    for level in range(1, LEVELS + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("a").alias("centre")).filter("size > 1")
-        rows = stored(nodes.join(sizes, "node"), "nodes")
-        last = level == LEVELS
-        small = rows if last else rows.filter(F.col("size") <= SMALL)
-        star = rows.filter("a != centre").select(F.col("centre").alias("a"), F.col("a").alias("b")).distinct()
-        known = reduce(DataFrame.unionByName, found) if found else None
-        comp = components(known) if known is not None else None
-        found += _proved(docs, sets, star, comp)
-        comp = components(reduce(DataFrame.unionByName, found)) if found else None
-        labelled = small.select("node", "a").join(comp, "a", "left").select("node", "a", F.coalesce("c", "a").alias("c")) if comp is not None else small.select("node", "a").withColumn("c", F.col("a"))
-        new = _proved(docs, sets, _pairs_within(labelled), comp)
-        found += new
-        if last:
-            break
-        crowded = rows.filter(F.col("size") > SMALL).select("node", "a")
-        if new:
-            comp = components(reduce(DataFrame.unionByName, found))
-        crowded = crowded.join(comp, "a", "left").select("node", "a", F.coalesce("c", "a").alias("c")) if comp is not None else crowded.withColumn("c", F.col("a"))
-        mixed = crowded.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("node")
-        left = stored(crowded.join(mixed, "node").join(sets.select("a", "sig"), "a").select("node", "a", "sig"), "crowded")
-        if left.isEmpty():
-            break
-        nodes = _nodes_of(left, level).distinct()
-    return stored(reduce(DataFrame.unionByName, found), "links") if found else None
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Rows of nodes with documents of several components, with the node's size and centre.
 
+    The centre is the smallest id after mixing it with the node's own key, so that a document is not the centre of all
+    the nodes it is in.
+    """
+    own = F.col("a").bitwiseXOR(F.col("node"))
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min(own).alias("centre"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
+    return nodes.join(sizes.select("node", "size", F.col("centre").bitwiseXOR(F.col("node")).alias("centre")), "node")
 
-def _proved(docs: DataFrame, sets: DataFrame, pairs: DataFrame, comp: DataFrame | None) -> list[DataFrame]:
-    """A table of the pairs that hold, leaving out those in one component already; an empty list if there are none."""
-    if comp is not None:
-        pairs = pairs.join(comp, "a", "left").join(comp.select(F.col("a").alias("b"), F.col("c").alias("d")), "b", "left").filter(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
-    likely = stored(_agreeing(pairs, sets), "likely")
-    if likely.isEmpty():
-        return []
-    wanted = likely.select("a").unionByName(likely.select(F.col("b").alias("a"))).distinct().join(sets.select("a", "key"), "a")
-    full = stored(_full_sets(docs, wanted), "full")
-    links = stored(_confirm(likely, full), "proved")
-    return [] if links.isEmpty() else [links]
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """All pairs of small nodes, and the pairs with the centre of crowded ones; not those in one component already."""
+    centre = F.col("a") == F.col("centre")
+    star = rows.filter((F.col("size") > SMALL) & ~centre).select(F.col("centre").alias("a"), F.col("a").alias("b"))
+    return star.unionByName(_pairs_within(rows.filter(F.col("size") <= SMALL).select("node", "a", "c")))
+
+
+def _linked(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(a, c): the component of every representative that is linked with another; None if none is.
+
+    Links are confirmed after the first level, after the last, and in what is then still crowded: in between a level
+    is one count of its nodes.
+    """
+    tree = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda r: F.xxhash64(F.lit("tree"), r, F.element_at("sig", r)))
+    rows = stored(_sized(sets.select("a", F.col("a").alias("c"), F.explode(tree).alias("node"))), "nodes")
+    likely = stored(_agreeing(_candidates(rows), sets), "likely")
+    crowded = rows.filter(F.col("size") > SMALL)
+    # later levels compare no other documents than those in crowded nodes of the first
+    wanted = likely.select("a").unionByName(likely.select(F.col("b").alias("a"))).unionByName(crowded.select("a"))
+    full = stored(_full_sets(docs, sets.select("a", "key").join(wanted.distinct(), "a")), "full")
+    found: list[DataFrame] = []
+
+    def confirmed(pairs: DataFrame, comp: DataFrame | None) -> DataFrame | None:
+        links = stored(_confirm(pairs, full), "links")
+        if links.isEmpty():
+            return comp
+        found.append(links)
+        return components(reduce(DataFrame.unionByName, found))
+
+    def mixed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """Rows of crowded nodes with documents of several components."""
+        labelled = _labelled(rows.select("node", "a"), comp)
+        several = labelled.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("node")
+        return labelled.join(several, "node")
+
+    comp = confirmed(likely, None)
+    open_rows = stored(mixed(crowded, comp).join(sets.select("a", "sig"), "a"), "open")
+    pairs: list[DataFrame] = []
+    for level in range(1, LEVELS):
+        if open_rows.isEmpty():
+            break
+        rows = stored(_sized(_nodes_of(open_rows, level)), "nodes")
+        pairs.append(_candidates(rows))
+        open_rows = rows.filter(F.col("size") > SMALL)
+    if pairs:
+        comp = confirmed(stored(_agreeing(reduce(DataFrame.unionByName, pairs), sets), "likely"), comp)
+        rest = stored(mixed(open_rows, comp), "rest")
+        if not rest.isEmpty():
+            comp = confirmed(stored(_agreeing(_pairs_within(rest), sets), "likely"), comp)
+    return comp
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
