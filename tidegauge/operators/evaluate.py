@@ -393,7 +393,9 @@ def evaluate(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequen
     cal = calibration_summary(df, label, prob, keys)
     if keys:
         return cal.join(ranks, keys, "left")
-    return cal.select("*", ranks.select("auroc").scalar().alias("auroc"), ranks.select("ap").scalar().alias("ap"))
+    # one struct, so that both values come from one subquery
+    both = ranks.select(F.struct("auroc", "ap").alias("r")).scalar()
+    return cal.select("*", both["auroc"].alias("auroc"), both["ap"].alias("ap"))
 
 
 # -- entity level ----------------------------------------------------------------------------------------

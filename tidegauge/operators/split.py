@@ -26,7 +26,8 @@ def by_group(
         share += parts[name]
         counts[f"c{i}"] = F.ceil(F.col("__total") * F.lit(round(share, 12)))
     cuts = nth_from_hash(groups, "__h", counts)
-    tagged = df.withColumns({"__h": hash60(group, seed=seed), **{c: cuts.select(c).scalar() for c in counts}})
+    cut = cuts.select(F.struct(*counts).alias("c")).scalar() if counts else None  # one struct: one subquery for all cuts
+    tagged = df.withColumns({"__h": hash60(group, seed=seed), **{c: cut[c] for c in counts}})
     choice: Column | None = None
     for i, name in enumerate(names[:-1]):
         cond = F.col("__h") < F.col(f"c{i}")
