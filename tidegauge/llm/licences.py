@@ -32,7 +32,7 @@ SPELLINGS = (
     ("merchantibility", "merchantability"),
 )
 VERSION = "(^| )v ?([0-9])"
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\u00a9|\(c\)|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|\u00a9|[0-9]|by )|\u00a9|\(c\)|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\u00a9]+"
 
 # Known licence texts and notices (public wording).

@@ -125,7 +125,10 @@ def remove_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per = lines.groupBy(F.col(ID).alias("__id"), F.col(KEY).alias("__key")).agg(F.array_sort(F.collect_list("line")).alias("__deleted"))
     joined = docs.join(per, F.col(ID).eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left")
     parts = F.split(F.col("text"), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__deleted", i) | (F.length(F.trim(x, F.lit(" \t\r\x0b\x0c"))) == 0)), "\n")
+    # a run goes from its first to its last line; blank lines between them are not part of it
+    goes = lambda x, i: F.array_contains("__deleted", i) & (F.length(F.trim(x, F.lit(" \t\r\x0b\x0c"))) > 0)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~goes(x, i)), "\n")
+    full = F.array_compact(F.transform(parts, lambda x, i: F.when(goes(x, i), i)))
     own = [f"`{c}`" for c in docs.columns if c != "text"]
-    out = joined.select(*own, F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce("__deleted", F.array().cast("array<int>")).alias("__deleted"))
+    out = joined.select(*own, F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(kept).alias("text"), F.when(F.col("__deleted").isNull(), F.array().cast("array<int>")).otherwise(full).alias("__deleted"))
     return out.select(*[f"`{c}`" for c in docs.columns], "__deleted")
