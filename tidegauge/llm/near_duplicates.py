@@ -220,9 +220,10 @@ def _linked(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     for level in range(1, LEVELS):
         if open_rows.isEmpty():
             break
-        rows = stored(_sized(_nodes_of(open_rows, level)), "nodes")
+        # stored without the minwise tokens, which are several times as large as all the rest of a row
+        rows = stored(_sized(_nodes_of(open_rows, level).drop("sig")), "nodes")
         pairs.append(_candidates(rows))
-        open_rows = rows.filter(F.col("size") > SMALL)
+        open_rows = rows.filter(F.col("size") > SMALL).select("node", "a", "c").join(sets.select("a", "sig"), "a")
     if pairs:
         comp = confirmed(stored(_agreeing(reduce(DataFrame.unionByName, pairs), sets), "likely"), comp)
         rest = stored(mixed(open_rows, comp), "rest")
