@@ -416,6 +416,43 @@ def test_mix_of_the_tables(spark, sf):
     assert max(slots.values()) <= 64 and sum(slots.values()) == sum(taken.values())
 
 
+def _source_rows(sizes, words=40):
+    """Documents of at most ``words`` words with the given number of words for each source."""
+    rows = []
+    for source, n in sizes.items():
+        rows += [(len(rows) + i, " ".join(["w"] * min(words, n - at)), source) for i, at in enumerate(range(0, n, words))]
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [{"a": 400, "b": 300, "c": 200}, {"a": 100, "b": 90_000, "c": 30_000, "d": 7, "e": 1}])
+def test_mix_gives_every_source_its_target(spark, sizes):
+    docs = spark.createDataFrame(_source_rows(sizes), "doc_id long, text string, source string")
+    pieces, per = mixing.mix(docs)  # blocks as in production
+    want, got, pieces = _targets(sizes), per.collect(), pieces.collect()
+    for s in sizes:
+        taken = sum(r.taken for r in got if r.source == s)
+        assert taken > 0 and abs(taken - want[s]) <= 0.5, (s, taken, want[s])
+    for r in got:
+        assert r.taken <= 2 * r.size
+    slots = collections.Counter()
+    for p in pieces:
+        slots[p.slot] += p.n_words
+    assert sorted(slots) == list(range(len(slots))) and max(slots.values()) <= mixing.BLOCK_WORDS
+    # any beginning of the schedule holds every source near its share: each is within two blocks of it
+    source_of = {r.doc_id: r.source for r in got}
+    so_far, total, by_slot = collections.Counter(), sum(want.values()), collections.defaultdict(list)
+    for p in pieces:
+        by_slot[p.slot].append(p)
+    for slot in sorted(by_slot):
+        for p in by_slot[slot]:
+            so_far[source_of[p.doc_id]] += p.n_words
+        if slot % 16 == 0:
+            part = sum(so_far.values()) / total
+            assert all(abs(so_far[s] - part * want[s]) <= 2 * mixing.BLOCK_WORDS for s in sizes)
+    # what is mixed keeps documents of every source
+    assert {r.source for r in mixing.mixed_documents(docs).collect()} == set(sizes)
+
+
 # ---- licences --------------------------------------------------------------------------------------------------------
 
 

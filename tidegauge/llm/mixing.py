@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each source's documents are shuffled by a hash and laid end to end; the stream is cut into blocks of equal words and may
-be read twice. Slot i of the schedule takes the point frac((i + 1) * golden ratio) through the cumulative target shares,
-which names a source; the rank of the slot among the slots of its source names the block. Any stretch of the schedule
-then holds every source close to its share. The mix is the join of slots with blocks.
+be read twice. A source gives its target, rounded to whole words and one word at least: so many blocks that they cover it,
+the last one cut where the target ends. The blocks of a source stand at even steps through the mix, its number times the
+golden ratio shifting them, and the slots of the schedule are the ranks of all blocks by that place. Any stretch of the
+schedule then holds every source close to its share. The mix is the join of slots with blocks.
 
 Targets: sources ordered by code point, null last, weigh 5, 2, 1 in turn and share 150 % of all words; a target stops at
 twice its source's words, and what is left over is shared again by weight. This is min(cap, level * weight) for the one
@@ -35,6 +36,7 @@ PASSES = 2
 BLOCK_WORDS = 512
 GOLDEN = 0.6180339887498949
 _SLOTS_PER_BUCKET = 65_536
+_STRETCH = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(source_no, source, source_size, target, first_share, last_share) for each source, shares of the mix on [0, 1)."""
+    """(source_no, source, source_size, target) for each source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
@@ -59,23 +61,27 @@ def targets(sized: DataFrame) -> DataFrame:
     per = per.withColumn("level", (F.sum("source_size").over(everything) * SHARE - below) / open_weight)
     per = per.withColumn("level", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("source_no"), F.col("level").alias("l")))).over(everything)["l"])
     per = per.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))))
-    so_far = F.sum("target").over(Window.orderBy("source_no"))
-    total = F.sum("target").over(everything)
-    return per.select("source_no", "source", "source_size", "target", F.when(total > 0, (so_far - F.col("target")) / total).alias("first_share"), F.when(total > 0, so_far / total).alias("last_share"))
+    return per.select("source_no", "source", "source_size", "target")
 
 
 def schedule(named: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, source_no, block): which block each slot takes; block numbers run on into the second reading."""
-    spark = named.sparkSession
-    total = named.agg(F.sum("target")).first()[0] or 0.0
-    n = int(-(-total // block_words))
-    point = (F.col("id") + 1) * F.lit(GOLDEN)
-    slots = spark.range(0, n, 1, max(1, min(n // _SLOTS_PER_BUCKET + 1, 10_000))).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u"), F.floor(F.col("id") / _SLOTS_PER_BUCKET).alias("bucket"))
-    # the shares as one array: a slot finds its source by the number of shares that end at or below its point
-    ends = [r["last_share"] for r in named.select("source_no", "last_share").orderBy("source_no").collect()] if n else []
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]).cast("array<double>"), lambda e: e <= F.col("u")))
-    placed = slots.withColumn("source_no", at.cast("int"))
-    return ordered.ranked(placed, ["source_no"], ["bucket"], [F.col("slot")], "rank").select("slot", "source_no", (F.col("rank") - 1).alias("block"))
+    """(slot, source_no, block, words): the block of each slot and how many of its words the mix takes.
+
+    Block numbers run on into the second reading. The words of a source add up to its rounded target.
+    """
+    open_ = named.filter("target > 0").select("source_no", F.greatest(F.round("target"), F.lit(1.0)).cast("long").alias("quota"))
+    open_ = open_.withColumn("n_blocks", F.ceil(F.col("quota") / block_words).cast("long"))
+    n = open_.agg(F.sum("n_blocks")).first()[0] or 0
+    parts = max(1, min(n // _SLOTS_PER_BUCKET + 1, 10_000))
+    # stretches of blocks are dealt out before they become rows, so that a large source is not one task
+    stretch = open_.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(_STRETCH).cast("long")))).repartition(parts)
+    blocks = stretch.withColumn("block", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _STRETCH, F.col("n_blocks")) - 1)))
+    blocks = blocks.withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("quota") - F.col("block") * block_words))
+    shift = (F.col("source_no") + 1) * F.lit(GOLDEN)
+    place = (F.col("block") * block_words + (shift - F.floor(shift)) * F.col("words")) / F.col("quota")
+    placed = blocks.withColumn("place", place).withColumn("bucket", F.floor(F.col("place") * parts))
+    ranks = ordered.ranked(placed, [], ["bucket"], [F.col("place"), F.col("source_no"), F.col("block")], "rank")
+    return ranks.select((F.col("rank") - 1).alias("slot"), "source_no", "block", "words")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +105,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> tuple
     cut = readings.withColumn("block", F.explode(F.sequence(first, last)))
     lo = F.greatest("from", F.col("block") * block_words)
     hi = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block_words)
-    cut = cut.select("source_no", "block", ID, KEY, "h", "copy", "pass", (lo - F.col("from")).alias("first_word"), (hi - lo).alias("n_words"))
-    pieces = cut.join(plan, ["source_no", "block"])
+    cut = cut.select("source_no", "block", ID, KEY, "h", "copy", "pass", (lo - F.col("from")).alias("first_word"), (lo - F.col("block") * block_words).alias("at"), (hi - lo).alias("n_words"))
+    pieces = cut.join(plan, ["source_no", "block"]).withColumn("n_words", F.least("n_words", F.col("words") - F.col("at"))).filter("n_words > 0")
     taken = pieces.groupBy(*[F.col(c).alias(f"__{c}") for c in ("source_no", "h", ID, KEY, "copy")]).agg(F.sum("n_words").alias("taken"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("source_no", "h", ID, KEY, "copy")])
     per_doc = laid.join(taken, same, "left").select(ID, KEY, "source", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
