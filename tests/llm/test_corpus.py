@@ -266,6 +266,38 @@ def test_base_spans_of_hard_texts(spark):
     _check_spans(got, texts)
 
 
+def test_windows_inside_longer_runs(spark):
+    texts = {
+        0: "pay 4111111111111111 4012888888881881 now", 1: "pay 4111 1111 1111 1111 5500-0000-0000-0004 now", 2: "pay 4111111111111112 4012888888881882 now",
+        3: "call +49 30 1234567 2024 11 30 18 now", 4: "é 999.192.168.1.10 now", 5: " ".join("4" * 2_000), 6: "12 4111111111111111",
+    }
+    got = collections.defaultdict(set)
+    for r in personal_data.candidates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        for s in r.found:
+            assert texts[r.doc_id][s.start : s.end] == s.value and texts[r.doc_id][: s.start].endswith(s.left) and texts[r.doc_id][s.end :].startswith(s.right)
+            if not s.base and not s.strict:
+                got[r.doc_id].add((personal_data.KINDS[s.kind], s.value))
+    assert got[0] == {("card", "4111111111111111"), ("card", "4012888888881881")}
+    assert {("card", "4111 1111 1111 1111"), ("card", "5500-0000-0000-0004")} <= got[1]
+    assert not any(k == "card" for k, _ in got[2])  # the check digits are wrong
+    assert ("phone", "+49 30 1234567") in got[3]
+    assert got[4] == {("ip", "192.168.1.10")}
+    assert ("card", "4111111111111111") in got[6]
+
+
+def test_two_adjacent_cards_are_found(spark):
+    def number(i, right):
+        stem = f"4{i * 7919 % 10**8:014d}"
+        twice = sum(d if k % 2 else (2 * d - 9 * (d > 4)) for k, d in enumerate(map(int, reversed(stem))))
+        return stem + str((-twice + (not right)) % 10)
+
+    good = "4111111111111111"
+    rows = [(i, f"{i} credit card {number(i, True)} for order {i} at once") for i in range(400)] + [(1000 + i, f"list {i} counts as {number(i, True)}{number(i + 1, False)} pieces in stock") for i in range(400)]
+    rows.append((5000, f"7 credit card {good} 4012888888881881 for order 7 at once"))
+    got = {r.doc_id: r for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000].base == [] and [(s.start, s.end) for s in got[5000].spans] == [(14, 30), (31, 47)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "🙂 write jo@ex.org or 10.0.0.1!", 5), (2, None, 6)], "doc_id long, text string, spans int")
     got = {r.doc_id: r.text for r in personal_data.redact(df).collect()}
