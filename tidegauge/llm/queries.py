@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import class_model, decontaminate, licences, line_labels, line_runs, mixing, near_duplicates, personal_data, quality_classifier, source_divergence, toxicity
+from tidegauge.llm import byte_repeats, class_model, decontaminate, licences, line_labels, line_runs, mixing, near_duplicates, periodic_runs, personal_data, quality_classifier, source_divergence, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 @query(OP12_SQL)
 def op12_source_divergence(spark, sf):
     return source_divergence.audit(table(spark, sf, "documents"))
+
+
+@query()
+def op13_periodic_runs(spark, sf):
+    found = periodic_runs.find_runs(table(spark, sf, "documents").select("doc_id", "text"), periodic_runs.loop_of_id)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    written = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.call_function("div", F.lit(1000) * F.col("strongest.length"), F.col("strongest.period"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli.cast("long").alias("exponent_milli"), F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op11_byte_repeats(spark, sf):
+    cleaned = byte_repeats.remove_repeats(table(spark, sf, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return cleaned.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
