@@ -6,20 +6,21 @@ with a smaller doc_id are removed.
 * **Dealing windows out.** The smallest hash of the 24-byte grams of a window is its mark: equal windows have equal marks
   wherever they stand. Neighbouring windows with one mark form a piece of at most ``LENGTH + 26`` bytes, so that each
   window is in one piece and all equal windows are in pieces with one mark.
-* **Marks of one document only** go first. Each task sends the distinct marks of its documents, packed by ranges of the
-  mark, and gets back those that another document has. Marks that several documents of a batch share are known there and
-  sent once. About a fourteenth of the bytes are marks; most of them end here.
-* **Column-wise construction.** The distinct pieces with their smallest doc_id are brought together by mark. A task takes
-  them in blocks and builds the suffix array of a block as a collection of documents: one more symbol of every piece
-  each round, from its end on. The new suffixes are placed by the stable order of the symbols of the Burrows-Wheeler
-  transform (what precedes the suffixes so far), and common prefixes of new neighbours are one more than the smallest
-  between their predecessors. Transform, common prefixes and suffix numbers are read and written in sequence, old to new.
-  Windows are equal where the common prefix is at least ``LENGTH``; each interval of them gets its smallest doc_id.
-* **Removal.** Every place of a piece takes the windows whose smallest doc_id is below its own.
+* **Marks of one text only** go first. Each task sends the distinct marks of its texts, packed by ranges of the mark, and
+  gets back those that another text has. Marks that several texts of a batch share are known there and sent once. About
+  a fourteenth of the bytes are marks; most of them end here. Equal texts count as one: the smallest id holds the text,
+  and its other copies go without a look at their windows.
+* **Column-wise construction.** Pieces with shared marks, merged with their places in each batch, are brought together by
+  mark. A task takes them in blocks and builds the suffix array of a block as a collection of documents: one more symbol
+  of every piece each round, from its end on. The new suffixes are placed by the stable order of the symbols of the
+  Burrows-Wheeler transform (what precedes the suffixes so far), and common prefixes of new neighbours are one more than
+  the smallest between their predecessors. Transform, common prefixes and suffix numbers are read and written in
+  sequence, old to new. Windows are equal where the common prefix is at least ``LENGTH``; each interval of them gets its
+  smallest doc_id, and every place drops the windows whose smallest doc_id is below its own.
 
 Blocks hold ``BLOCK`` pieces or the pieces of one mark, so the sequential files of the construction are arrays in memory.
-Documents are moved once: both joins use one shuffle of the texts. Equality is decided on the bytes; marks only bring
-pieces together.
+Both joins use one shuffle of the texts. Equality is decided on the bytes (of whole texts: on two 64-bit hashes); marks
+only bring pieces together.
 
 Defined results: null and empty texts have no bytes; rows that share an id never remove one another's bytes, so exact
 repeats keep theirs; a null id counts as smaller than every other one; strings never cross documents; an empty table
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ID, lean, mix, stored, text_of
+from tidegauge.llm.common import ID, lean, mix, text_of
 
 LENGTH = 50
 GRAM = 24
@@ -103,8 +104,20 @@ def _short(mark: np.ndarray, bits: int) -> np.ndarray:
     return ((mark >> np.uint64(64 - bits)) << np.uint64(32) | (mark & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start and end."""
+    if not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return start, np.r_[start[1:], len(values)]
+
+
+def _blob(values: np.ndarray, kind: str) -> bytes:
+    return values.astype(kind).tobytes()
+
+
 def _send(bits: int):
-    """Rows (range, marks, rows that have them) of a batch, and those already known to be shared."""
+    """For each range of marks: the texts of a batch that have some, how many, and which; apart from that, known shared ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,56 +136,66 @@ def _send(bits: int):
             new[1:] |= rows[1:] != rows[:-1]
             mark, rows, head = mark[new], rows[new], head[new]
             shared = ~head | np.r_[~head[1:], False] if len(head) else head
-            out = {"part": [], "low": [], "rows": [], "known": []}
+            out: dict[str, list] = {f.name: [] for f in _SENT_ARROW}
+
+            def add(part, rows, marks, low):
+                start, end = _runs_of(rows)
+                values = [part, _blob(rows[start], "<i8"), _blob(end - start, "<u4"), _blob(marks, "<u4" if low else "<i8"), not low]
+                for name, value in zip(out, values):
+                    out[name].append(value)
+
             sent, by = mark[head], rows[head]
-            part = sent >> 32
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(part)]):
-                out["part"].append(int(part[lo]))
-                out["low"].append((sent[lo:hi] & 0xFFFFFFFF).astype("<u4").tobytes())
-                out["rows"].append(by[lo:hi].astype("<i8").tobytes())
-                out["known"].append(b"")
+            order = np.lexsort((by, sent >> 32))
+            sent, by = sent[order], by[order]
+            for lo, hi in zip(*_runs_of(sent >> 32)):
+                add(int(sent[lo] >> 32), by[lo:hi], sent[lo:hi] & 0xFFFFFFFF, True)
             if shared.any():
-                out["part"].append(int(row[0] & ((1 << bits) - 1)))
-                out["low"].append(b"")
-                out["rows"].append(rows[shared].astype("<i8").tobytes())
-                out["known"].append(mark[shared].astype("<i8").tobytes())
+                order = np.argsort(rows[shared], kind="stable")
+                add(int(row[0] & ((1 << bits) - 1)), rows[shared][order], mark[shared][order], False)
             yield pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
 
     return work
 
 
-_SENT = "part bigint, low binary, rows binary, known binary"
-_SENT_ARROW = pa.schema([("part", pa.int64()), ("low", pa.binary()), ("rows", pa.binary()), ("known", pa.binary())])
+_SENT = "part bigint, rows binary, counts binary, marks binary, known boolean"
+_SENT_ARROW = pa.schema([("part", pa.int64()), ("rows", pa.binary()), ("counts", pa.binary()), ("marks", pa.binary()), ("known", pa.bool_())])
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """(row, mark) for marks of one range that several rows have."""
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-    sends = table.filter(pc.equal(pc.binary_length(table.column("known")), 0))
-    known = table.filter(pc.greater(pc.binary_length(table.column("known")), 0))
-    low = np.frombuffer(b"".join(sends.column("low").to_pylist()), dtype="<u4")
-    rows = np.frombuffer(b"".join(sends.column("rows").to_pylist()), dtype="<i8")
-    part = table.column("part")[0].as_py()
+    """(row, marks): those of one range that several texts have."""
+
+    def read(known: bool) -> tuple[np.ndarray, np.ndarray]:
+        t = table.filter(pc.equal(table.column("known"), known))
+        whole = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), dtype=kind)
+        return np.repeat(whole("rows", "<i8"), whole("counts", "<u4")), whole("marks", "<i8" if known else "<u4").astype(np.int64)
+
+    rows, low = read(False)
     order = np.lexsort((rows, low))
-    low, rows = low[order], rows[order]
-    other = (low[1:] == low[:-1]) & (rows[1:] != rows[:-1])
-    # the same row twice in between does not part a group: its neighbours are then in it as well
-    group = np.cumsum(np.r_[True, low[1:] != low[:-1]]) - 1 if len(low) else np.empty(0, np.int64)
+    rows, low = rows[order], low[order]
     shared = np.zeros(len(low), dtype=bool)
     if len(low):
-        shared = (np.bincount(group[1:], weights=other, minlength=group[-1] + 1) > 0)[group]
-    rows_out = np.concatenate([rows[shared], np.frombuffer(b"".join(known.column("rows").to_pylist()), dtype="<i8")])
-    marks = np.concatenate([low[shared].astype(np.int64) | (part << 32), join("known", "<i8")])
-    return pa.table({"row": pa.array(rows_out, pa.int64()), "mark": pa.array(marks, pa.int64())})
+        start, end = _runs_of(low)
+        several = rows[start] != rows[end - 1]
+        shared = np.repeat(several, end - start)
+    known_rows, known = read(True)
+    rows = np.r_[rows[shared], known_rows]
+    marks = np.r_[low[shared] | table.column("part")[0].as_py() << 32, known]
+    order = np.argsort(rows, kind="stable")
+    rows, marks = rows[order], marks[order]
+    start, end = _runs_of(rows)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), pa.array(marks))
+    return pa.table({"row": pa.array(rows[start], pa.int64()), "marks": lists})
 
 
 def _extract(bits: int):
-    """The pieces of a text whose marks other documents have too."""
+    """The distinct pieces of a batch with shared marks, each with all its places."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, doc, lists = b.column("row").to_numpy(), b.column("doc").to_numpy(), b.column("marks")
+            number: dict[bytes, int] = {}
+            code: list[int] = []
+            marks, places = [np.empty(0, np.uint64)], [np.empty((0, 3), np.int64)]
             for first, raw, edges in _chunks(b.column("text")):
                 owner, start, n, mark = _pieces(raw, edges)
                 some = lists.slice(first, len(edges) - 1)
@@ -180,17 +203,23 @@ def _extract(bits: int):
                 of = np.repeat(np.arange(len(edges) - 1), np.diff(some.offsets.to_numpy()))
                 salted = lambda text, value: mix(mix(text.astype(np.uint64)) ^ value.astype(np.uint64))
                 hit = np.isin(salted(owner, _short(mark, bits)), salted(of, wanted))
-                owner, start, n, mark = owner[hit], start[hit], n[hit], mark[hit]
+                owner, start, n = owner[hit], start[hit], n[hit]
                 data = raw.tobytes()
-                strings = [data[s:e] for s, e in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
-                columns = [mark.astype(np.int64), strings, row[first + owner], doc[first + owner], start - edges[owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PLACES_ARROW)], schema=_PLACES_ARROW)
+                code += [number.setdefault(data[s:e], len(number)) for s, e in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
+                marks.append(mark[hit])
+                places.append(np.stack([row[first + owner], doc[first + owner], start - edges[owner]], axis=1))
+            codes, place, mark = np.array(code, dtype=np.int64), np.concatenate(places), np.concatenate(marks)
+            order = np.argsort(codes, kind="stable")
+            first_of, last_of = _runs_of(codes[order])
+            place = np.ascontiguousarray(place[order])
+            blobs = [place[lo:hi].tobytes() for lo, hi in zip(first_of.tolist(), last_of.tolist())]
+            columns = [pa.array(mark[order][first_of].astype(np.int64)), pa.array(list(number), pa.binary()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["mark", "piece", "places"])
 
     return work
 
 
-_PLACES = "mark bigint, piece binary, row bigint, doc bigint, at int"
-_PLACES_ARROW = pa.schema([("mark", pa.int64()), ("piece", pa.binary()), ("row", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+_PIECES = "mark bigint, piece binary, places binary"
 
 
 def smallest_holders(pieces: list[bytes], doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -247,24 +276,26 @@ def _merged(old: np.ndarray, was: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
-_HOLDERS = "mark bigint, digest bigint, holders array<bigint>"
-
-
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pieces sorted by mark to those that some place may have to drop, with the holders of their windows."""
+    """Pieces sorted by mark to the places that drop windows: bit t of ``mask`` stands for the window t bytes on."""
     held: list[pa.RecordBatch] = []
     n = 0
 
     def build() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        pieces = t.column("piece").to_pylist()
-        found = smallest_holders(pieces, t.column("lowest").to_numpy())
-        windows = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) - LENGTH + 1
-        useful = np.flatnonzero(found.min(axis=1) < t.column("highest").to_numpy())
-        inside = np.arange(found.shape[1]) < windows[useful][:, None]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows[useful])].astype(np.int32)), pa.array(found[useful][inside]))
-        columns = [pa.array(t.column("mark").to_numpy()[useful]), pa.array(t.column("digest").to_numpy()[useful]), lists]
-        return pa.RecordBatch.from_arrays(columns, names=["mark", "digest", "holders"])
+        number: dict[bytes, int] = {}
+        code = np.array([number.setdefault(x, len(number)) for x in t.column("piece").to_pylist()], dtype=np.int64)
+        blobs = t.column("places").to_pylist()
+        code = np.repeat(code, [len(x) // 24 for x in blobs])
+        row, doc, at = np.frombuffer(b"".join(blobs), dtype=np.int64).reshape(-1, 3).T
+        lowest = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, code, doc)
+        found = smallest_holders(list(number), lowest)
+        mask = np.zeros(len(code), dtype=np.int64)
+        for i in range(found.shape[1]):
+            mask |= (found[code, i] < doc).astype(np.int64) << i
+        some = mask != 0
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (row, doc, at, mask)], names=["row", "doc", "at", "mask"])
 
     for b in batches:
         mark = b.column("mark").to_numpy()
@@ -292,16 +323,17 @@ _CLEANED_ARROW = pa.schema([(ID, pa.int64()), ("n_bytes", pa.int64()), ("removed
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and the windows to remove (of this id only) to removed runs of bytes and what is left."""
+    """Texts and their windows to remove to removed runs of bytes and what is left."""
     for b in batches:
         out: dict[str, list] = {"n_bytes": [], "removed": [], "kept": []}
         texts = b.column("text").cast(pa.binary()).to_pylist()
-        for doc, raw, cuts in zip(b.column("doc").to_pylist(), texts, b.column("cuts").to_pylist()):
+        for raw, copy, cuts in zip(texts, b.column("copy").to_pylist(), b.column("cuts").to_pylist()):
             spans, kept = [], raw
-            starts = [c["at"] + t for c in cuts or () if c["doc"] == doc for t in range(c["mask"].bit_length()) if c["mask"] >> t & 1]
-            if starts:
+            if copy and len(raw) >= LENGTH:
+                spans, kept = [{"start": 0, "end": len(raw)}], b""
+            elif cuts and not copy:
                 step = np.zeros(len(raw) + 1, dtype=np.int32)
-                starts = np.unique(np.array(starts))
+                starts = np.unique(np.array([c["at"] + t for c in cuts for t in range(c["mask"].bit_length()) if c["mask"] >> t & 1]))
                 step[starts] += 1
                 step[starts + LENGTH] -= 1
                 gone = np.cumsum(step[:-1]) > 0
@@ -317,24 +349,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, ``removed`` (maximal runs of bytes, ends exclusive) and ``kept`` (the other bytes) of every row."""
     own = lean(docs, ID, "text").select(F.col(ID).cast("long"), text_of().alias("text"))
+    # both joins below take these columns by row, so that one shuffle of the texts serves them
+    rows = own.select(ID, F.xxhash64("text").alias("row"), F.xxhash64(F.lit("twin"), F.col("text")).alias("twin"), "text")
     doc = F.coalesce(F.col(ID), F.lit(-(1 << 63))).alias("doc")
-    # the joins below all take these three columns by row, so that one shuffle of the texts serves them
-    rows = own.select(ID, F.xxhash64(doc, F.col("text")).alias("row"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, 2 * total / (_SPREAD + 1) / MARKS))))
 
+    # the smallest id with a text holds it; a list for each first hash, for texts that share it by chance
+    holders = rows.groupBy("row", "twin").agg(F.min(doc).alias("lowest"))
+    holder = F.struct("twin", "lowest").alias("holder")
+    lowest = F.element_at(F.filter("holders", lambda h: h["twin"] == F.col("twin")), 1)["lowest"]
+
     sent = rows.select("row", "text").mapInArrow(_send(bits), _SENT)
-    shared = sent.groupBy("part").applyInArrow(_answer, "row bigint, mark bigint")
-    shared = stored(shared.groupBy("row").agg(F.collect_list("mark").alias("marks")), "marks")
-
-    places = rows.join(shared, "row").select("row", doc, "text", "marks").mapInArrow(_extract(bits), _PLACES)
-    pieces = places.groupBy("mark", "piece").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest"))
-    pieces = pieces.withColumn("digest", F.xxhash64("piece")).repartition("mark").sortWithinPartitions("mark")
-    holders = pieces.mapInArrow(_index, _HOLDERS)
-
-    bit = lambda m, t: F.when(m < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), t)).otherwise(F.lit(0).cast("long"))
-    mask = F.aggregate(F.transform("holders", bit), F.lit(0).cast("long"), lambda a, x: a + x)
-    drops = places.withColumn("digest", F.xxhash64("piece")).select("mark", "digest", "row", "doc", "at").join(holders, ["mark", "digest"])
-    drops = drops.select("row", "doc", "at", mask.alias("mask")).filter("mask <> 0")
-    cuts = drops.groupBy("row").agg(F.collect_list(F.struct("doc", "at", "mask")).alias("cuts"))
-    return rows.join(cuts, "row", "left").select(ID, doc, "text", "cuts").mapInArrow(_cut, _CLEANED)
+    shared = sent.groupBy("part").applyInArrow(_answer, "row bigint, marks array<bigint>")
+    both = shared.select("row", "marks", F.lit(None).cast("struct<twin:bigint,lowest:bigint>").alias("holder"))
+    both = both.unionByName(holders.select("row", F.lit(None).cast("array<bigint>").alias("marks"), holder))
+    known = both.groupBy("row").agg(F.flatten(F.collect_list("marks")).alias("marks"), F.collect_list("holder").alias("holders")).filter(F.size("marks") > 0)
+    kept = rows.join(known, "row").select("row", doc, "text", "marks", lowest.alias("lowest")).filter("doc = lowest")
+    pieces = kept.select("row", "doc", "text", "marks").mapInArrow(_extract(bits), _PIECES)
+    drops = pieces.repartition("mark").sortWithinPartitions("mark").mapInArrow(_index, "row bigint, doc bigint, at bigint, mask bigint")
+
+    cuts = drops.select("row", F.struct("doc", "at", "mask").alias("cut"), F.lit(None).cast("struct<twin:bigint,lowest:bigint>").alias("holder"))
+    cuts = cuts.unionByName(holders.select("row", F.lit(None).cast("struct<doc:bigint,at:bigint,mask:bigint>").alias("cut"), holder))
+    cuts = cuts.groupBy("row").agg(F.collect_list("cut").alias("cuts"), F.collect_list("holder").alias("holders"))
+    found = rows.join(cuts, "row").select(ID, doc, "text", lowest.alias("lowest"), "cuts")
+    mine = F.filter("cuts", lambda c: c["doc"] == F.col("doc"))
+    return found.select(ID, "text", (F.col("doc") > F.col("lowest")).alias("copy"), mine.alias("cuts")).mapInArrow(_cut, _CLEANED)
