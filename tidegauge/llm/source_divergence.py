@@ -5,8 +5,8 @@ vocabulary size, so that no term is cut off. A vocabulary belongs to one lang: t
 (no term holds that character), which fits all langs at once, counts documents per lang and makes no job per lang.
 ``CountVectorizer`` sends its vocabulary to the driver and on to the tasks. So terms are dealt by their hash to as many
 slices as keep a vocabulary near ``SLICE`` terms, and each slice is fitted and counted by itself: memory is bounded, and
-since every sum is over terms the slices just add up. The number of slices comes from an exact count of kept terms in
-one 64th of the term space and has no effect on results.
+since every sum is over terms the slices just add up. The number of slices comes from a count of frequent terms in one
+64th of the term space and has no effect on results.
 
 Group sums are sums of the sparse vectors per (lang, source), combined before the shuffle. With p and q as the smoothed
 shares per thousand millions, a pair of sources is the sum of f over **all** kept terms of the lang. Where a source
@@ -26,35 +26,77 @@ has no rows. Further columns are not read. Ties are ranked by the item in UTF-8
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.common import ascii_lower, stored, text_of
+from tidegauge.llm.common import stored, text_of
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 TOP = 10
 #: Terms in one vocabulary, about; more are worked on slice by slice.
 SLICE = 1_000_000
 _PROBES = 64
 _MARK = "\x00"
+#: Bytes of text split at once, unless one text has more.
+CHUNK = 1 << 20
+
+
+def _term_class() -> np.ndarray:
+    """Byte to byte: letters A-Z lowered, and 0 for all that ends a term."""
+    byte = np.arange(256, dtype=np.uint8)
+    byte[65:91] += 32
+    byte[:65] = byte[91:97] = byte[123:128] = 0
+    return byte
+
+
+_TERM_CLASS = _term_class()
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of many texts at once, each behind its lang; bytes from 128 up only occur inside terms."""
+    for b in batches:
+        lo = 0
+        while lo < b.num_rows:
+            text = b.column("text")
+            at = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, side="right")) - 1)
+            raw = _TERM_CLASS[np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)[at[lo] : at[hi]]]
+            edges = at[lo : hi + 1] - at[lo]
+            inside = raw != 0
+            before = np.zeros(len(raw) + 1, dtype=bool)
+            before[1:] = inside
+            before[edges] = False  # a text ends its last term
+            starts = np.flatnonzero(inside & ~before[:-1])
+            lists = np.searchsorted(starts, edges).astype(np.int32)
+            place = np.concatenate([[0], np.cumsum(inside)])
+            ends = np.append(place[starts], place[-1]).astype(np.int32)
+            values = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(raw[inside].tobytes()))
+            rows = b.slice(lo, hi - lo)
+            owner = pa.array(np.repeat(np.arange(hi - lo), np.diff(lists)))
+            values = pc.binary_join_element_wise(rows.column("lang").take(owner), values, _MARK)
+            yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("source"), pa.ListArray.from_arrays(pa.array(lists), values)], names=["lang", "source", "terms"])
+            lo = hi
 
 
 def _slices(tokens: DataFrame, min_docs: int, size: int) -> int:
-    term = F.explode(F.array_distinct("terms")).alias("term")
-    probe = tokens.select(term).filter(F.pmod(F.xxhash64("term"), F.lit(_PROBES)) == 0).groupBy("term").count().filter(F.col("count") >= min_docs)
-    return max(1, math.ceil(probe.count() * _PROBES / size))
+    """Enough slices for the terms that occur ``min_docs`` times, of which the kept ones are a part."""
+    term = tokens.select(F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(_PROBES)) == 0)
+    return max(1, math.ceil(term.groupBy("term").count().filter(F.col("count") >= min_docs).count() * _PROBES / size))
 
 
 def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """((lang, source) of every group, (lang, source, term, n) for kept terms that occur there)."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
-    words = F.regexp_extract_all(ascii_lower(text_of()), F.lit(TERM), F.lit(0))
-    raw = docs.select(lang.alias("lang"), source.alias("source"), words.alias("words"))
-    tokens = stored(raw.select("lang", "source", F.transform("words", lambda w: F.concat(F.col("lang"), F.lit(_MARK), w)).alias("terms")), "terms")
+    raw = docs.select(lang.alias("lang"), source.alias("source"), text_of().alias("text"))
+    tokens = stored(raw.mapInArrow(_terms, "lang string, source string, terms array<string>"), "terms")
     n_slices = _slices(tokens, min_docs, size)
     found = None
     for i in range(n_slices):
@@ -62,13 +104,18 @@ def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE) ->
         if n_slices > 1:
             part = tokens.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n_slices)) == i))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_docs, vocabSize=2**31 - 1).fit(part)
-        if not model.vocabulary:
+        vocabulary = model.vocabulary
+        if not vocabulary:
             continue
         vector = F.unwrap_udt("vector")
-        entries = model.transform(part).select("lang", "source", F.inline(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("n"))))
-        sums = entries.groupBy("lang", "source", "at").agg(F.sum("n").cast("long").alias("n"))
-        names = tokens.sparkSession.createDataFrame(list(enumerate(model.vocabulary)), "at int, term string")
-        sums = stored(sums.join(names, "at").select("lang", "source", F.substring_index("term", _MARK, -1).alias("term"), "n"), "sums")
+        entries = model.transform(part.select("source", "terms")).select("source", F.inline(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("n"))))
+        sums = entries.groupBy("source", "at").agg(F.sum("n").cast("long").alias("n"))
+        # a term's place in the vocabulary stands for its lang too
+        names = pd.DataFrame({"at": np.arange(len(vocabulary), dtype=np.int32), "name": vocabulary})
+        named = sums.join(tokens.sparkSession.createDataFrame(names, "at int, name string"), "at")
+        term = F.substring_index("name", _MARK, -1)
+        lang_of = F.substring("name", F.lit(1), F.length("name") - F.length(term) - 1)
+        sums = stored(named.select(lang_of.alias("lang"), "source", term.alias("term"), "n"), "sums")
         found = sums if found is None else found.unionByName(sums)
     if found is None:
         found = tokens.sparkSession.createDataFrame([], "lang string, source string, term string, n long")
