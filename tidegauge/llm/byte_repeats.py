@@ -43,7 +43,7 @@ from tidegauge.llm.common import ID, lean, mix, text_of
 LENGTH = 50
 GRAM = 24
 #: Pieces in one collection, unless one mark has more.
-BLOCK = 16_384
+BLOCK = 4_096
 #: Bytes of text hashed at once, unless one text has more.
 CHUNK = 2 << 20
 #: Marks dealt to one range, about.
@@ -226,50 +226,71 @@ def smallest_holders(pieces: list[bytes], doc: np.ndarray, length: int = LENGTH)
     """For window t of piece i the smallest ``doc`` of the pieces that hold it; one column for each t, unused ones max.
 
     Column by column from the right, the suffixes of all pieces are put in order: ``before`` is the transform, ``common``
-    the common prefix with the suffix above, ``piece`` and ``at`` name the suffix. The ends come first, in piece order,
-    and agree with nothing.
+    the common prefix with the suffix above, ``latest`` the place of the newest suffix of each piece. The ends come first,
+    in piece order, and agree with nothing. Which suffix stands where is read off the finished transform.
     """
     m = len(pieces)
     size = np.fromiter(map(len, pieces), dtype=np.int64, count=m)
     text = np.full((m, int(size.max())), _END, dtype=np.uint8)
     text[np.arange(text.shape[1]) < size[:, None]] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    piece, at = np.arange(m, dtype=np.int32), size.astype(np.uint8)
-    before = np.where(size > 0, text[piece, size - 1], _END).astype(np.uint8)
-    common, latest = np.zeros(m, dtype=np.uint8), np.ones(m, dtype=bool)
-    while True:
-        going = np.flatnonzero(before != _END)
-        order = going[np.argsort(before[going], kind="stable")]
-        new = latest[order]
-        if not new.any():
-            break
-        # what was there keeps its order; the new suffixes stand where the transform puts them
-        old = np.r_[np.ones(m, dtype=bool), ~new]
-        source = order[new]
-        who, where = piece[source], at[source].astype(np.int64) - 1
-        first = before[order]
-        k = np.flatnonzero(new | np.r_[False, new[:-1]])
-        k = k[k > 0]
-        k = k[first[k] == first[k - 1]]
-        spans = np.stack([order[k - 1] + 1, order[k] + 1], axis=1).ravel()
+    before = text[np.arange(m), size - 1]
+    common = np.zeros(m, dtype=np.uint8)
+    latest = np.arange(m)
+    going = np.arange(m)  # pieces with symbols left
+    for step in range(1, int(size.max()) + 1):
+        order = _by_symbol(before)
+        source = latest[going]
+        owner = np.empty(len(before), dtype=np.int32)
+        owner[source] = going
+        new = np.zeros(len(before), dtype=bool)
+        new[source] = True
+        new = new[order]
+        k = np.flatnonzero(new)  # the new suffixes among all with a symbol, in order
+        who = owner[order[k]]
+        place = m + k
+        left = size[who] - step
+        # a new suffix and what follows it get new neighbours
+        new[1:] |= new[:-1].copy()
+        turn = np.flatnonzero(new)
+        same = turn[(turn > 0) & (before[order[turn]] == before[order[turn - 1]])]
+        spans = np.stack([order[same - 1] + 1, order[same] + 1], axis=1).ravel()
         least = np.minimum.reduceat(np.r_[common, np.uint8(0)], spans)[::2] if len(spans) else np.empty(0, np.uint8)
-        grown = np.zeros(len(old), dtype=np.uint8)
-        grown[old] = common
-        turn = np.flatnonzero(new | np.r_[False, new[:-1]]) + m
-        grown[turn] = 0
-        grown[m + k] = least + 1
-        common = grown
-        before = _merged(old, before, np.where(where > 0, text[who, where - 1], _END).astype(np.uint8))
-        piece, at = _merged(old, piece, who), _merged(old, at, where.astype(np.uint8))
-        latest = ~old
+        old = np.ones(len(before) + len(k), dtype=bool)
+        old[place] = False
+        common = _merged(old, common, np.uint8(0))
+        common[m + turn] = 0
+        common[m + same] = least + np.uint8(1)
+        before = _merged(old, before, np.where(left > 0, text[who, left - 1], _END).astype(np.uint8))
+        latest[who] = place
+        going = np.flatnonzero(size > step)
+    # a suffix with one symbol more stands where the transform sends its predecessor
+    order = _by_symbol(before)
+    at = np.empty(len(before), dtype=np.int64)
+    at[order] = m + np.arange(len(order))
     heads = np.flatnonzero(common < length)
-    least = np.minimum.reduceat(doc[piece], heads)
     group = np.cumsum(common < length) - 1
+    named = np.full(len(before), -1, dtype=np.int32)
     out = np.full((m, max(1, int(size.max()) - length + 1)), np.iinfo(np.int64).max, dtype=np.int64)
-    window = size[piece] - at >= length
-    out[piece[window], at[window]] = least[group[window]]
+    here, places = np.arange(m), []
+    for step in range(1, int(size.max()) + 1):
+        some = np.flatnonzero(size >= step)
+        here[some] = at[here[some]]
+        named[here[some]] = some
+        if step >= length:
+            places.append((some, size[some] - step, here[some].copy()))
+    holder = np.r_[doc, np.iinfo(np.int64).max][named]  # the ends hold nothing
+    least = np.minimum.reduceat(holder, heads)
+    for who, window, place in places:
+        out[who, window] = least[group[place]]
     return out
 
 
+def _by_symbol(before: np.ndarray) -> np.ndarray:
+    """Places in stable order of their symbols, without those of whole pieces."""
+    order = np.argsort(before, kind="stable")
+    return order[: len(order) - np.count_nonzero(before == _END)]
+
+
 def _merged(old: np.ndarray, was: np.ndarray, new: np.ndarray) -> np.ndarray:
     out = np.empty(len(old), dtype=was.dtype)
     out[old], out[~old] = was, new
