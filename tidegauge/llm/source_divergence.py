@@ -26,6 +26,7 @@ has no rows. Further columns are not read. Ties are ranked by the item in UTF-8
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,10 @@ def _term_class() -> np.ndarray:
 _TERM_CLASS = _term_class()
 
 
+_TOKENS = "lang string, source string, terms array<string>, probe array<struct<term:string,n:bigint>>"
+_PROBE = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The terms of many texts at once, each behind its lang; bytes from 128 up only occur inside terms."""
     for b in batches:
@@ -82,21 +87,24 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = b.slice(lo, hi - lo)
             owner = pa.array(np.repeat(np.arange(hi - lo), np.diff(lists)))
             values = pc.binary_join_element_wise(rows.column("lang").take(owner), values, _MARK)
-            yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("source"), pa.ListArray.from_arrays(pa.array(lists), values)], names=["lang", "source", "terms"])
+            counted = pc.value_counts(values)
+            picked = [x for x in counted.to_pylist() if zlib.crc32(x["values"].encode()) % _PROBES == 0]
+            probe = pa.array([[(x["values"], x["counts"]) for x in picked]] + [[]] * (hi - lo - 1), type=_PROBE)
+            yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("source"), pa.ListArray.from_arrays(pa.array(lists), values), probe], names=["lang", "source", "terms", "probe"])
             lo = hi
 
 
 def _slices(tokens: DataFrame, min_docs: int, size: int) -> int:
     """Enough slices for the terms that occur ``min_docs`` times, of which the kept ones are a part."""
-    term = tokens.select(F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(_PROBES)) == 0)
-    return max(1, math.ceil(term.groupBy("term").count().filter(F.col("count") >= min_docs).count() * _PROBES / size))
+    frequent = tokens.select(F.inline("probe")).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    return max(1, math.ceil(frequent.count() * _PROBES / size))
 
 
 def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """((lang, source) of every group, (lang, source, term, n) for kept terms that occur there)."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
     raw = docs.select(lang.alias("lang"), source.alias("source"), text_of().alias("text"))
-    tokens = stored(raw.mapInArrow(_terms, "lang string, source string, terms array<string>"), "terms")
+    tokens = stored(raw.mapInArrow(_terms, _TOKENS), "terms")
     n_slices = _slices(tokens, min_docs, size)
     found = None
     for i in range(n_slices):
