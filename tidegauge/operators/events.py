@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions.ordered import previous_value, running_sums
-from tidegauge.functions.timefn import plus_hours
+from tidegauge.functions.spread import spread_join
+from tidegauge.functions.timefn import hours_between, plus_hours
 
 MINUTE_US = 60_000_000
 # Busy entities are cut into cells of this length wherever rows must be put in time order.
@@ -27,8 +28,14 @@ def tag_items(events: DataFrame, dictionary: DataFrame, item: str = "itemid") ->
 
 
 def members(events: DataFrame, entities: DataFrame, entity: str) -> DataFrame:
-    """Events of listed entities only."""
-    return events.join(entities.select(entity).distinct(), entity, "left_semi")
+    """Events of listed entities only. A busy entity's events are dealt to several tasks."""
+    return spread_join(events, entities.select(entity).distinct(), [entity], "left_semi")
+
+
+def since(events: DataFrame, entities: DataFrame, entity: str, ts: str, start: str, out: str = "hours") -> DataFrame:
+    """Events with the hours from their entity's ``start``; entities without a row there are left out."""
+    timed = spread_join(events, entities.select(entity, start), [entity])
+    return timed.withColumn(out, hours_between(ts, start)).drop(start)
 
 
 def first_events(

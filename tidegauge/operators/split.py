@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import hash60, hash_bucket, nth_from_hash, ranked
+from tidegauge.functions.spread import spread_join
 
 
 def by_group(
@@ -61,7 +62,9 @@ def folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, out: str = "fol
     """Adds a fold number. ``balanced=False`` takes the hash alone: no shuffle, folds even on average."""
     if not balanced:
         return df.withColumn(out, F.pmod(hash60(group, seed=seed), F.lit(k)).cast("int"))
-    return df.join(fold_table(df, group, k, seed, out).select(group, out), group)
+    table = fold_table(df, group, k, seed, out)
+    # the table of folds counts the rows of every group anyway
+    return spread_join(df, table.select(group, out), [group], counts=table.select(group, F.col("n_rows").alias("n")))
 
 
 def by_year(
@@ -81,9 +84,9 @@ def by_year(
     """
     year = F.year(ts)
     spans = df.groupBy(group).agg(
-        F.max(year.between(*test_years)).alias("__test"), F.max(year.between(*train_years)).alias("__train")
+        F.max(year.between(*test_years)).alias("__test"), F.max(year.between(*train_years)).alias("__train"), F.count(F.lit(1)).alias("n")
     )
     train = by_group(spans.where(F.col("__train") & ~F.col("__test")), group, {"val": val_share, "train": 1 - val_share}, seed, out)
     side = train.select(group, out).unionByName(spans.where("__test").select(group, F.lit("test").alias(out)))
     inside = F.when(F.col(out) == "test", year.between(*test_years)).otherwise(year.between(*train_years))
-    return df.join(side, group).where(inside)
+    return spread_join(df, side, [group], counts=spans).where(inside)

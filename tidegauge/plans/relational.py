@@ -678,7 +678,7 @@ def x4(spark, sf):
 @query("x5_hours_between", sql([d.STAYS], "SELECT e.event_id, (epoch_us(e.ts) - epoch_us(s.icu_in)) / 3.6e9 AS hours FROM events e JOIN stays s ON e.user_id = s.stay_id", ["hours"]))
 def x5(spark, sf):
     e = d.table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("stay_id"))
-    return e.join(d.stays(spark, sf), "stay_id").select("event_id", timefn.hours_between("ts", "icu_in").alias("hours"))
+    return events.since(e, d.stays(spark, sf), "stay_id", "ts", "icu_in").select("event_id", "hours")
 
 
 @query("x6_zone_strip", sql([], "SELECT event_id, ts - INTERVAL 5 HOUR AS t FROM events"))
