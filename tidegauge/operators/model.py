@@ -5,10 +5,14 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,44 @@ def fill_values(df: DataFrame, features: Sequence[str], how: str = "median") ->
     return quantiles(tall, "v", [0.5], ["feature"], out="value").select("feature", "value")
 
 
+class _FillParams(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    strategy = Param(Params._dummy(), "strategy", "median or mean, both exact", TypeConverters.toString)
+
+
+class ExactImputer(Estimator, _FillParams):
+    """Learns the exact median or mean of every input column over its known values (see ``fill_values``)."""
+
+    @keyword_only
+    def __init__(self, *, strategy: str = "median", inputCols: list[str] | None = None, outputCols: list[str] | None = None):
+        super().__init__()
+        self._setDefault(strategy="median")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> ExactImputerModel:
+        names = list(self.getInputCols())
+        found = {r["feature"]: r["value"] for r in fill_values(dataset, names, self.getOrDefault("strategy")).collect()}
+        empty = [n for n in names if found.get(n) is None]
+        if empty:
+            raise ValueError(f"no known values in {empty}")
+        return ExactImputerModel(inputCols=names, outputCols=list(self.getOutputCols()), values=[float(found[n]) for n in names])
+
+
+class ExactImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Puts the learned value where a column is null or NaN. Its state is its parameters, so a saved pipeline holds it."""
+
+    values = Param(Params._dummy(), "values", "one number for each input column", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None, outputCols: list[str] | None = None, values: list[float] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        filled = zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault("values"))
+        return dataset.withColumns({out: F.coalesce(known(c), F.lit(v)) for c, out, v in filled})
+
+
 def stages(
     features: Sequence[str],
     trees: int = 600,
@@ -59,10 +101,10 @@ def stages(
     seed: int = 42,
     weighted: bool = True,
 ) -> Pipeline:
-    """Impute, assemble, scale, forest. No depth limit becomes Spark's own limit of 30."""
+    """Impute (exact median or mean), assemble, scale, forest. No depth limit becomes Spark's own limit of 30."""
     filled = [f"{f}__filled" for f in features]
     steps = [
-        Imputer(strategy=impute, inputCols=list(features), outputCols=filled),
+        ExactImputer(strategy=impute, inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="__raw"),
     ]
     column = "__raw"
@@ -262,32 +304,28 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and population std of the metric's drop when one feature is permuted.
 
-    Per repeat, every row gets one donor row and is copied once per feature with that feature taken from
-    the donor; all copies are scored together and the metric is grouped by feature.
+    Rows are filled and assembled once and written. Per repeat every row gets one donor row and is copied once per
+    feature with that slot of its vector taken from the donor's; the rest of the pipeline scores all copies together and
+    the metric is grouped by slot. The plan has the same size for any number of features.
     """
     base_rows = align_columns(df, features, [*keys, "label"])
-    base = rank_metrics(score(model, base_rows, features, [*keys, "label"])).select(metric).scalar()
+    cut = next(i for i, s in enumerate(model.stages) if isinstance(s, VectorAssembler)) + 1
+    front, back = PipelineModel(model.stages[:cut]), PipelineModel(model.stages[cut:])
+    column = model.stages[cut - 1].getOutputCol()
+    packed = front.transform(base_rows).select(*keys, "label", vector_to_array(column).alias("__vector"))
+    packed = materialize(packed, "vectors")
+    prob = vector_to_array("probability")[1].alias("prob")
+    base = rank_metrics(back.transform(packed.select("label", array_to_vector("__vector").alias(column))).select("label", prob)).select(metric).scalar()
     parts = None
     for r in range(repeats):
-        swapped = donors(base_rows, keys, features, seed + r)
-        copies = F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("feature"),
-                        *[(F.col(f"__donor.{g}") if g == f else F.col(g)).alias(f"v_{g}") for g in features],
-                    )
-                    for f in features
-                ]
-            )
-        )
-        wide = swapped.select(*keys, "label", F.lit(r).alias("repeat"), copies.alias("c")).select(
-            *keys, "label", "repeat", "c.feature", *[F.col(f"c.v_{g}").alias(g) for g in features]
-        )
-        parts = wide if parts is None else parts.unionByName(wide)
-    scored = score(model, parts, features, ["feature", "repeat", "label"])
-    per = rank_metrics(scored, by=["feature", "repeat"]).withColumn("drop", base - F.col(metric))
-    return per.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")).orderBy(
+        part = donors(packed, keys, ["__vector"], seed + r).select("label", F.lit(r).alias("repeat"), "__vector", F.col("__donor.__vector").alias("__d"))
+        parts = part if parts is None else parts.unionByName(part)
+    copies = parts.select("label", "repeat", "__vector", "__d", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("slot"))
+    swapped = F.transform("__vector", lambda v, i: F.when(i == F.col("slot"), F.get("__d", F.col("slot"))).otherwise(v))
+    scored = back.transform(copies.select("slot", "repeat", "label", array_to_vector(swapped).alias(column))).select("slot", "repeat", "label", prob)
+    per = rank_metrics(scored, by=["slot", "repeat"]).withColumn("drop", base - F.col(metric))
+    named = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("slot") + 1).alias("feature")
+    return per.groupBy(named).agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")).orderBy(
         F.col("importance_mean").desc(), "feature"
     )
 

@@ -7,7 +7,7 @@ the grid and sampling parameters below, so that the queries end in minutes on ei
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import alerts, calibrate, evaluate, features, grid, leadtime, model, quality, split
 from tidegauge.plans import data as d
 from tidegauge.plans.catalog import query, sql
+from tidegauge.plans.scored import TALL, ece_sql, rank_sql
 from tidegauge.plans.timeline import wide_sql, window_ctes
 from tidegauge.session import materialize, new_path
 from tidegauge.sources import writers
@@ -101,21 +102,32 @@ _TRAINSET = [
 ]
 
 
-@query("m4_exact_fill_values", sql(_TRAINSET, " UNION ALL ".join(f"SELECT '{c}' AS feature, 'median' AS how, median({c}) AS value FROM trainset WHERE split = 'train' UNION ALL SELECT '{c}', 'mean', avg({c}) FROM trainset WHERE split = 'train'" for c in _FEW_NAMES), ["value"]))
+# The same with all features.
+_WIDE_SQL, _WIDE_NAMES = wide_sql(d.WINDOWS, features.STATS, d.VARIABLES)
+_WIDE = [*window_ctes(d.WINDOWS), f"feats AS ({_WIDE_SQL})", *_TRAINSET[-2:]]
+_TRAIN_TALL = "tall AS (UNPIVOT (SELECT {} FROM trainset WHERE split = 'train') ON * INTO NAME feature VALUE v)".format(", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _WIDE_NAMES))
+
+
+@query("m4_exact_fill_values", sql([*_WIDE, _TRAIN_TALL], "SELECT feature, 'median' AS how, median(v) AS value FROM tall GROUP BY 1 UNION ALL SELECT feature, 'mean', avg(v) FROM tall GROUP BY 1", ["value"]))
 def m4_exact(spark, sf):
     """Exact medians and means of the training part."""
-    train, _, _ = splits(spark, sf, FEW)
-    a = model.fill_values(train, FEW).withColumn("how", F.lit("median"))
-    return a.unionByName(model.fill_values(train, FEW, "mean").withColumn("how", F.lit("mean")))
+    train, _, _ = splits(spark, sf)
+    a = model.fill_values(train, FEATURES).withColumn("how", F.lit("median"))
+    return a.unionByName(model.fill_values(train, FEATURES, "mean").withColumn("how", F.lit("mean")))
 
 
-@query("m4_imputer")
+@query(
+    "m4_imputer",
+    sql([*_WIDE, "med AS (SELECT {} FROM trainset WHERE split = 'train')".format(", ".join(f"median({c}) AS {c}" for c in _WIDE_NAMES))],
+        "SELECT split, {}, count(*) AS n FROM trainset t, med GROUP BY 1".format(", ".join(f"avg(coalesce(t.{c}, med.{c})) AS {c}" for c in _WIDE_NAMES)),
+        _WIDE_NAMES, ["n"]),
+)
 def m4(spark, sf):
-    """Medians of the training part fill all parts."""
-    train, val, test = splits(spark, sf, FEW)
-    fitted = Imputer(strategy="median", inputCols=FEW, outputCols=[f"{c}_f" for c in FEW]).fit(train)
+    """Exact medians of the training part fill all parts, by the imputer of the training pipeline."""
+    train, val, test = splits(spark, sf)
+    fitted = model.ExactImputer(strategy="median", inputCols=FEATURES, outputCols=[f"{c}_f" for c in FEATURES]).fit(train)
     both = fitted.transform(train.unionByName(val).unionByName(test))
-    return both.groupBy("split").agg(*[F.avg(f"{c}_f").alias(c) for c in FEW], F.count(F.lit(1)).alias("n"))
+    return both.groupBy("split").agg(*[F.avg(f"{c}_f").alias(c) for c in FEATURES], F.count(F.lit(1)).alias("n"))
 
 
 _KNOWN = "known AS (SELECT split, error__24h__count AS x FROM trainset WHERE split IN ('train', 'test') AND error__24h__count IS NOT NULL AND view__24h__count IS NOT NULL)"
@@ -253,7 +265,17 @@ def c1(spark, sf):
     return calibrate.apply(fitted, val.unionByName(test)).select("split", "prob", "prob_cal").distinct()
 
 
-@query("c1_isotonic_report")
+_CALIBRATED = "calibrated AS (SELECT s.split, s.label, s.prob, m.prob_cal FROM splits s JOIN mapped m ON m.split = s.split AND m.prob = s.prob WHERE s.method = 'raw')"
+_REPORT_KEYS = ["split", "stage"]
+
+
+@query(
+    "c1_isotonic_report",
+    sql([*_ISOTONIC, _CALIBRATED, TALL],
+        "SELECT r.*, b.brier, c.ece FROM (" + rank_sql("tall", by=_REPORT_KEYS) + ") r JOIN (SELECT split, stage, avg(pow(prob - label, 2)) AS brier FROM tall GROUP BY ALL) b USING (split, stage) "
+        "JOIN (" + ece_sql("tall", by=_REPORT_KEYS) + ") c USING (split, stage)",
+        ["auroc", "ap", "pos_rate", "brier", "ece"], ["n"]),
+)
 def c1_report(spark, sf):
     val, test = _raw(spark, sf)
     return calibrate.before_after(calibrate.apply(calibrate.fit(val, "isotonic"), val.unionByName(test)), ["split"])
