@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.session import materialize, shared_dir
+from tidegauge.session import materialize, new_path, shared_dir
 
 stored = materialize
 
@@ -28,6 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Written tables of one operator, below one folder of the work folder, that can be removed before the end.
+
+    A table goes when what was made of it is written too, so a lost executor never needs one that is gone.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, new_path(spark, name)
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and id(t) in self._paths:
+                _, path = self._paths.pop(id(t))
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+    def drop_all(self, but: DataFrame) -> None:
+        self.drop(*[t for t, _ in list(self._paths.values()) if t is not but])
+
+
 def text_of(c: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     c = F.col(c) if isinstance(c, str) else c

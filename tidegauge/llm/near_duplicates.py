@@ -1,49 +1,60 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-A document is the set of its distinct five-word shingles. One pass over the texts leaves a fixed number of minwise
-tokens for each set. Equal sets are merged first; what follows handles one representative for each distinct set.
-
-Every independent tree starts as one node. A node branches by selected minwise tokens: the first level by one
-coordinate of the tree, deeper ones by two coordinates that the node's own path selects, so that two sets with
-similarity s stay together along a branch with probability s and a pair at the threshold is expected to survive 1.5
-branches a level however deep a crowded node has to go. Nodes of few documents are compared exhaustively. A crowded
-node is compared with a centre of its own, and branches further unless all its documents are in one component already.
-What is still crowded after the last level (sets that agree in many coordinates and yet are not linked) is compared
-exhaustively across its components. Nothing is capped or dropped.
+A document is a row's id and text; its set is that of its distinct five-word shingles. One pass over the texts leaves a
+fixed number of minwise tokens for each set. Equal sets are merged first; what follows handles one representative, with
+a number of its own, for each distinct set.
+
+Every independent tree starts as one node that branches by three coordinates of the tree; trees share no coordinate.
+All documents of a node are compared with its centre. A node whose documents are then in several components still is
+compared exhaustively if it is small; a larger one branches into four children by four coordinates each, which the
+node's own path selects, without the centre, whose comparisons are done. Two sets at the threshold survive 1.27 of the
+four branches on average; sets far below it leave 0.25 at similarity 0.5. A node loses its centre at every level, so
+branching ends by itself: nothing is capped or dropped. Trees run in groups; links are merged after every level, and
+nodes of one component are closed, so that later groups only see what is still apart.
 
 Compared means: the minwise tokens estimate the similarity, and pairs that are far below the threshold stop there
-(chance of losing a true pair about 1e-7); the others are confirmed on the full sets. Pairs whose documents are linked
-already need no second proof.
+(chance of losing a true pair below 1e-6); the others are confirmed on the full sets, first the likeliest partner of each
+document, then those whose documents are not linked by then.
+
+Recall of a pair at similarity exactly 0.75: trees without crowded nodes miss it with chance (1 - 0.75^3)^24 = 2e-6; if
+all its nodes are crowded and mixed, one level deep 7e-5, two levels deep 3e-4. At 0.8 these are 3e-8, 7e-7 and 2e-6.
 
-Recall of a pair at similarity exactly 0.75 with 14 trees: above 1 - 1e-6; higher above it. Components come from
-minimum-label propagation with pointer jumping in tables in the work folder.
+Tables are written in the work folder and removed when the next one stands on its own.
 
-Defined results: null or empty texts have no shingles, are linked with nothing and are their own component; fewer than
-five words are one shingle; rows with equal sets are linked; rows that repeat an id are one document (their sets must
-agree; if the texts differ, the row with the smallest text key stands for the id). Rows without an id get no result row.
-Extra columns are ignored.
+Defined results: each row has its result row, exact repeats too. Null or empty texts have no shingles, are linked with
+nothing and are their own component; fewer than five words are one shingle; rows with equal sets are linked. Rows that
+share an id and differ in text are judged apart. ``component_id`` has the type of the id; it is the smallest id of the
+component, null if none of its rows has one. ``kept`` marks one row for each component: the smallest id (null last), of
+texts under one id the smallest text key, of exact repeats one. Rows without shingles are all kept. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ID, append, lean, map_texts, mix, shingle_hashes, stored, text_key, text_of, token_hashes
+from tidegauge.functions.spread import spread_join
+from tidegauge.llm.common import ID, Scratch, append, lean, map_texts, mix, shingle_hashes, text_key, text_of, token_hashes
 
 SHINGLE = 5
 PERCENT = 75
-COORDINATES = 48
-TREES = 14
-SMALL = 16
-#: Ids (16 bytes each) that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
-MAX_BROADCAST = 2_000_000
-LEVELS = 14
-#: Equal coordinates of 48 that a pair needs to be confirmed; a true pair at the threshold has 36 on average.
-AGREE = 20
+COORDINATES = 72
+TREES = 24
+#: Trees that run together; links are merged between groups.
+GROUP = 6
+#: Coordinates of a tree's first level, and children and coordinates of each deeper one.
+START = 3
+CHILDREN = 4
+DEEPER = 4
+SMALL = 8
+#: Ids that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
+#: Joins of more rows than this deal heavy keys to parts; Spark broadcasts the other side of smaller ones.
+MANY = 500_000
+#: Equal coordinates of 72 that a pair needs to be confirmed; a true pair at the threshold has 54 on average.
+AGREE = 35
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
@@ -69,170 +80,237 @@ def sketches(docs: DataFrame) -> DataFrame:
             sig.append(minwise(s) if len(s) else None)
         return {"n": n, "fp1": f1, "fp2": f2, "sig": sig}
 
-    rows = lean(docs, ID, "text").filter(F.col(ID).isNotNull()).withColumn("key", text_key())
-    return append(rows, run, "n long, fp1 long, fp2 long, sig array<int>").drop("text")
+    return append(lean(docs, ID, "text").withColumn("key", text_key()), run, "n long, fp1 long, fp2 long, sig array<int>").drop("text")
 
 
-def _nodes_of(rows: DataFrame, level: int) -> DataFrame:
-    """(node, a, c, sig) of the children of crowded nodes."""
-    at = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)) for k in (0, 1)]
-    children = F.array(*[F.xxhash64("node", F.lit(level), F.lit(k), c, F.element_at("sig", (c + 1).cast("int"))) for k, c in enumerate(at)])
-    return rows.select("a", "c", "sig", F.explode(children).alias("node"))
+def _looked_up(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row per key; the rows of heavy keys are dealt to parts if there are many."""
+    return spread_join(rows, lookup, [on], how) if rows.count() > MANY else rows.join(lookup, on, how)
 
 
-def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can reach the threshold by their sizes and are not far below it by their minwise tokens."""
-    x = sets.select(F.col("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    y = sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (same >= AGREE)
-    return pairs.distinct().join(x, "a").join(y, "b").filter(fits).select("a", "b")
+def _first_nodes(sets: DataFrame, first: int) -> DataFrame:
+    """(node, a) of one group of trees."""
+    own = lambda r: F.xxhash64(F.lit("tree"), r, *[F.element_at("sig", (r * START + i + 1).cast("int")) for i in range(START)])
+    trees = F.sequence(F.lit(first), F.lit(min(first + GROUP, TREES) - 1))
+    return sets.select("a", F.explode(F.transform(trees, own)).alias("node"))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(a, set) of the wanted (a, key), from their whole texts. Their ids are broadcast up to a checked number of them.
+def _children(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """(node, a) of the children of crowded nodes."""
+    def child(k: int):
+        at = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(k), F.lit(i)), F.lit(COORDINATES)) for i in range(DEEPER)]
+        return F.xxhash64("node", F.lit(level), F.lit(k), *[F.element_at("sig", (c + 1).cast("int")) for c in at])
 
-    A row that repeats another gives its set twice, and then a link twice, which changes nothing.
-    """
-    def run(batches):
-        for b in batches:
-            yield {"a": b["a"], "s": [shingle_hashes(token_hashes(t or ""), SHINGLE).tobytes() for t in b["text"].to_pylist()]}
+    nodes = F.array(*[child(k) for k in range(CHILDREN)])
+    return rows.select("node", "a").join(sets.select("a", "sig"), "a").select("a", F.explode(nodes).alias("node"))
+
+
+def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` with the component c of a; without any link so far it is a itself."""
+    if comp is None:
+        return rows.withColumn("c", F.col("a"))
+    return rows.join(comp, "a", "left").withColumn("c", F.coalesce("c", "a"))
 
-    wanted = stored(wanted, "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted
-    rows = lean(docs, ID, "text").filter(F.col(ID).isNotNull()).select(F.col(ID).alias("a"), text_key().alias("key"), text_of().alias("text"))
-    return map_texts(rows.join(few, ["a", "key"], "left_semi").select("a", "text"), run, "a long, s binary")
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(node, a, c, size, centre) of nodes with documents of several components; ``rows`` has node, a and c.
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the threshold: 100 * intersection >= 75 * union."""
-    def run(batches):
-        for b in batches:
-            keep = []
-            for p, q in zip(b["s"].to_pylist(), b["t"].to_pylist()):
-                x, y = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            hit = np.flatnonzero(keep)
-            yield {"a": b["a"].take(hit), "b": b["b"].take(hit)}
+    The centre is the smallest number after mixing it with the node's own key, so that a document is not the centre of
+    all the nodes it is in.
+    """
+    own = F.col("a").bitwiseXOR(F.col("node"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(own).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
+    nodes = nodes.select("node", "n", F.col("n").alias("size"), F.col("m").bitwiseXOR(F.col("node")).alias("centre"))
+    return spread_join(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", "n"))
 
-    joined = pairs.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("t")), "b")
-    return map_texts(joined.select("a", "b", "s", "t"), run, "a long, b long")
 
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    """All pairs of different components in nodes of at most ``SMALL`` documents."""
+    members = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("a", "c"))).alias("m"))
+    later = lambda x, i: F.transform(F.filter(F.col("m"), lambda y: (y["a"] > x["a"]) & (y["c"] != x["c"])), lambda y: F.struct(x["a"].alias("a"), y["a"].alias("b")))
+    return members.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*")
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, c): the smallest id reachable from each end of the links.
+
+def components(links: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, c): the smallest number reachable from each end of the links (a, b); and the written table that holds it.
 
     Each round takes the smallest label of the neighbours and then the label of that label. Tables are written, so that
     neither the plan nor a lost executor makes a round run twice.
     """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stored(edges.distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "labels")
+    edges = work.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = work.put(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        lower = labels.join(near, "a").select("a", "c", F.least("c", "m").alias("d"))
+        near = _looked_up(edges, labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
+        lower = work.put(labels.join(near, "a").select("a", "c", F.least("c", "m").alias("d")), "lower")
         jump = labels.select(F.col("a").alias("d"), F.col("c").alias("e"))
-        new = stored(lower.join(jump, "d", "left").select("a", F.least("d", F.coalesce("e", "d")).alias("c"), F.col("c").alias("was")), "labels")
+        new = work.put(_looked_up(lower, jump, "d", "left").select("a", F.least("d", F.coalesce("e", "d")).alias("c"), F.col("c").alias("was")), "labels")
+        work.drop(labels, lower)
         if new.filter("c != was").isEmpty():
-            return new.select("a", "c")
-        labels = new.select("a", "c")
-
-
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in each node; ``rows`` has node, a and c."""
-    other = rows.select("node", F.col("a").alias("b"), F.col("c").alias("d"))
-    return rows.join(other, "node").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d"))).select("a", "b")
-
-
-def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """``rows`` with the component c of a; without any link so far it is a itself."""
-    return rows.withColumn("c", F.col("a")) if comp is None else rows.join(comp, "a", "left").withColumn("c", F.coalesce("c", "a"))
+            work.drop(edges)
+            return new.select("a", "c"), new
+        labels = new
+
+
+class _Join:
+    """The state of one join: representatives, their full sets as far as they were needed, and components so far."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, work: Scratch):
+        self.docs, self.sets, self.work = docs, sets, work
+        self.full: DataFrame | None = None
+        self.comp: DataFrame | None = None
+
+    def agreeing(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, same) of pairs that can reach the threshold by their sizes and are not far below it by their tokens."""
+        pairs = self.work.put(pairs.distinct(), "pairs")
+        x = self.sets.select("a", F.col("n").alias("na"), F.col("sig").alias("sa"))
+        y = self.sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
+        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+        both = _looked_up(pairs, y, "b").join(x, "a").filter(fits).select("a", "b", same.alias("same")).filter(F.col("same") >= AGREE)
+        likely = self.work.put(both, "likely")
+        self.work.drop(pairs)
+        return likely
+
+    def load(self, pairs: DataFrame) -> None:
+        """Make the full sets of all ends of the pairs from their whole texts, but for those that are there already."""
+        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        if self.full is not None:
+            wanted = wanted.join(self.full.select("a"), "a", "left_anti")
+        wanted = self.work.put(self.sets.select("a", F.col(ID).alias("__id"), F.col("key").alias("__key"), "copies").join(wanted, "a"), "wanted")
+        n, repeats = wanted.agg(F.count("*"), F.max("copies")).first()
+        if n == 0:
+            return
+
+        def run(batches):
+            for b in batches:
+                yield {"a": b["a"], "s": [shingle_hashes(token_hashes(t or ""), SHINGLE).tobytes() for t in b["text"].to_pylist()]}
+
+        few = F.broadcast(wanted) if n <= MAX_BROADCAST else wanted
+        rows = lean(self.docs, ID, "text").withColumn("key", text_key())
+        texts = rows.join(few, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("a", text_of().alias("text"))
+        if repeats > 1:
+            texts = texts.dropDuplicates(["a"])
+        part = self.work.put(map_texts(texts, run, "a long, s binary"), "full")
+        self.full = part if self.full is None else self.full.unionByName(part)
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Merge the components of the pairs whose full sets reach the threshold: 100 * intersection >= 75 * union."""
+        def run(batches):
+            for b in batches:
+                keep = []
+                for p, q in zip(b["s"].to_pylist(), b["t"].to_pylist()):
+                    x, y = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                hit = np.flatnonzero(keep)
+                yield {"a": b["a"].take(hit), "b": b["b"].take(hit)}
+
+        if pairs.isEmpty():
+            return
+        self.load(pairs)
+        there = _looked_up(pairs.select("a", "b"), self.full.select(F.col("a").alias("b"), F.col("s").alias("t")), "b")
+        links = self.work.put(map_texts(there.join(self.full, "a").select("a", "b", "s", "t"), run, "a long, b long"), "links")
+        if not links.isEmpty():
+            self.merge(links)
+        self.work.drop(links)
+
+    def merge(self, links: DataFrame) -> None:
+        """Add links to the components: the graph of this step has one vertex for each component so far."""
+        ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
+        base = ends.withColumn("c", F.col("a"))
+        if self.comp is not None:
+            base = self.comp.unionByName(base.join(self.comp.select("a"), "a", "left_anti"))
+        base = self.work.put(base, "base")
+        one = _looked_up(links, base.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").join(base, "a")
+        found, written = components(one.select(F.col("c").alias("a"), F.col("d").alias("b")), self.work)
+        raised = found.select(F.col("a").alias("c"), F.col("c").alias("e"))
+        comp = self.work.put(_looked_up(base, raised, "c", "left").select("a", F.coalesce("e", "c").alias("c")), "components")
+        self.work.drop(base, written, self.comp)
+        self.comp = comp
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        if self.comp is None:
+            return pairs
+        other = self.comp.select(F.col("a").alias("b"), F.col("c").alias("d"))
+        named = _labelled(_looked_up(pairs, other, "b", "left"), self.comp)
+        return named.filter(F.col("c") != F.coalesce("d", "b")).drop("c", "d")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Link the pairs: first the likeliest partner of each document, then whatever is still apart."""
+        likely = self.agreeing(pairs)
+        best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
+        self.confirm(best)
+        rest = self.work.put(self.apart(likely.join(best, ["a", "b"], "left_anti")), "rest")
+        self.confirm(rest)
+        self.work.drop(likely, best, rest)
+
+    def run_trees(self, first: int) -> None:
+        """One group of trees, level by level, until no node has documents of several components."""
+        rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first), self.comp)), "nodes")
+        level = 0
+        while not rows.isEmpty():
+            others = rows.filter(F.col("a") != F.col("centre"))
+            self.compare(self.apart(others.select("a", F.col("centre").alias("b"))))
+            # the centre has met all others, so what is left of a node are those others
+            left = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp)).drop("centre"), "left")
+            small = left.filter(F.col("size") <= SMALL)
+            if not small.isEmpty():
+                self.compare(_pairs_within(small))
+            level += 1
+            crowded = left.filter(F.col("size") > SMALL)
+            below = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp)), "nodes")
+            self.work.drop(rows, left)
+            rows = below
+        self.work.drop(rows)
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, copies, component_id, kept): one row for each id and text. kept: the row that stands for its component."""
+    work = Scratch(docs.sparkSession, "near-duplicates")
+    sketch = work.put(sketches(docs), "sketches")
+    rows = work.put(sketch.groupBy(ID, "key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fp1", "fp2")]), "rows")
+    rank = F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), F.col("key").alias("k"))
+    same = sketch.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min(rank).alias("r"), F.first("sig").alias("sig"))
+    own = same.select("n", "fp1", "fp2", F.col("r.id").alias(ID), F.col("r.k").alias("key"), "sig")
+    # numbers are fixed by the written table
+    sets = work.put(own.withColumn("a", F.monotonically_increasing_id()), "sets")
+    repeats = rows.filter("copies > 1").select(F.col(ID).alias("__id"), F.col("key").alias("__k"), "copies")
+    named = sets.join(repeats, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__k")), "left")
+    join = _Join(docs, named.select("a", ID, "key", "n", "sig", F.coalesce("copies", F.lit(1)).alias("copies")), work)
+    for first in range(0, TREES, GROUP):
+        join.run_trees(first)
+    # a set's own rank is in its row, so the smallest row of a component needs no other look at the documents
+    marked = _labelled(sets.select("a", "n", "fp1", "fp2", rank.alias("r")), join.comp)
+    least = marked.groupBy("c").agg(F.min("r").alias("least"))
+    of_set = work.put(_looked_up(marked.select("n", "fp1", "fp2", "c"), least, "c").select("n", "fp1", "fp2", "least"), "classes")
+    # one set may be that of a third of all rows
+    joined = spread_join(rows.withColumnRenamed("n", "words"), of_set.withColumnRenamed("n", "words"), ["words", "fp1", "fp2"], "left").withColumnRenamed("words", "n")
+    component = F.when(F.col("n") == 0, F.col(ID)).otherwise(F.col("least.id"))
+    kept = F.when(F.col("n") == 0, True).otherwise(F.col(ID).eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.k")))
+    done = work.put(joined.select(ID, "key", "n", "copies", component.alias("component_id"), kept.alias("kept")), "result")
+    work.drop_all(but=done)
+    return done
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    sketch = stored(sketches(docs), "sketches")
-    one = sketch.groupBy(ID).agg(F.min_by(F.struct("key", "n", "fp1", "fp2", "sig"), "key").alias("r")).select(ID, "r.*")
-    same = one.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min(ID).alias("a"), F.min_by(F.struct("key", "sig"), ID).alias("r"))
-    sets = stored(same.select("a", "n", "fp1", "fp2", "r.key", "r.sig"), "sets")
-    comp = _linked(docs, sets)
-    base = one.select(ID, "n", "fp1", "fp2")
-    reps = sets.select("a", "n", "fp1", "fp2")
-    joined = base.join(reps, ["n", "fp1", "fp2"], "left")
-    if comp is not None:
-        joined = joined.join(comp, "a", "left")
-    else:
-        joined = joined.withColumn("c", F.lit(None).cast("long"))
-    component = F.coalesce("c", "a", ID)
-    return joined.select(ID, F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col(ID) == component).alias("kept"))
-
-
-def _sized(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes with documents of several components, with the node's size and centre.
-
-    The centre is the smallest id after mixing it with the node's own key, so that a document is not the centre of all
-    the nodes it is in.
-    """
-    own = F.col("a").bitwiseXOR(F.col("node"))
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min(own).alias("centre"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
-    return nodes.join(sizes.select("node", "size", F.col("centre").bitwiseXOR(F.col("node")).alias("centre")), "node")
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    """All pairs of small nodes, and the pairs with the centre of crowded ones; not those in one component already."""
-    centre = F.col("a") == F.col("centre")
-    star = rows.filter((F.col("size") > SMALL) & ~centre).select(F.col("centre").alias("a"), F.col("a").alias("b"))
-    return star.unionByName(_pairs_within(rows.filter(F.col("size") <= SMALL).select("node", "a", "c")))
-
-
-def _linked(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(a, c): the component of every representative that is linked with another; None if none is.
-
-    Links are confirmed after the first level, after the last, and in what is then still crowded: in between a level
-    is one count of its nodes.
-    """
-    tree = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda r: F.xxhash64(F.lit("tree"), r, F.element_at("sig", r)))
-    rows = stored(_sized(sets.select("a", F.col("a").alias("c"), F.explode(tree).alias("node"))), "nodes")
-    likely = stored(_agreeing(_candidates(rows), sets), "likely")
-    crowded = rows.filter(F.col("size") > SMALL)
-    # later levels compare no other documents than those in crowded nodes of the first
-    wanted = likely.select("a").unionByName(likely.select(F.col("b").alias("a"))).unionByName(crowded.select("a"))
-    full = stored(_full_sets(docs, sets.select("a", "key").join(wanted.distinct(), "a")), "full")
-    found: list[DataFrame] = []
-
-    def confirmed(pairs: DataFrame, comp: DataFrame | None) -> DataFrame | None:
-        links = stored(_confirm(pairs, full), "links")
-        if links.isEmpty():
-            return comp
-        found.append(links)
-        return components(reduce(DataFrame.unionByName, found))
-
-    def mixed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """Rows of crowded nodes with documents of several components."""
-        labelled = _labelled(rows.select("node", "a"), comp)
-        several = labelled.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("node")
-        return labelled.join(several, "node")
-
-    comp = confirmed(likely, None)
-    open_rows = stored(mixed(crowded, comp).join(sets.select("a", "sig"), "a"), "open")
-    pairs: list[DataFrame] = []
-    for level in range(1, LEVELS):
-        if open_rows.isEmpty():
-            break
-        # stored without the minwise tokens, which are several times as large as all the rest of a row
-        rows = stored(_sized(_nodes_of(open_rows, level).drop("sig")), "nodes")
-        pairs.append(_candidates(rows))
-        open_rows = rows.filter(F.col("size") > SMALL).select("node", "a", "c").join(sets.select("a", "sig"), "a")
-    if pairs:
-        comp = confirmed(stored(_agreeing(reduce(DataFrame.unionByName, pairs), sets), "likely"), comp)
-        rest = stored(mixed(open_rows, comp), "rest")
-        if not rest.isEmpty():
-            comp = confirmed(stored(_agreeing(_pairs_within(rest), sets), "likely"), comp)
-    return comp
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    rows = _classified(docs).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    kept = F.col("kept") & ((F.col("copy") == 1) | (F.col("n") == 0))
+    return rows.select(ID, F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns as they came. Rows without an id stay."""
-    gone = classes(docs).filter(~F.col("kept")).select(ID)
-    return docs.join(gone, ID, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component, as ``kept`` says; columns as they came. Of exact repeats any one stays."""
+    rows = _classified(docs)
+    found = lambda which: F.broadcast(which) if which.count() <= MAX_BROADCAST else which
+    names = lambda which: which.select(F.col(ID).alias("__id"), F.col("key").alias("__k"))
+    on = F.col(f"`{ID}`").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__k"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__text_key", text_key())
+    left = keyed.join(found(names(rows.filter(~F.col("kept")))), on, "left_anti")
+    repeated = names(rows.filter("kept and copies > 1 and n > 0"))
+    if not repeated.isEmpty():
+        once = left.join(found(repeated), on, "left_semi").dropDuplicates([ID, "__text_key"])
+        left = left.join(found(repeated), on, "left_anti").unionByName(once)
+    return left.select(*columns)
