@@ -43,7 +43,7 @@ PERCENT = 75
 COORDINATES = 72
 TREES = 24
 #: Trees that run together; links are merged between groups.
-GROUP = 6
+GROUP = 8
 #: Coordinates of a tree's first level, and children and coordinates of each deeper one.
 START = 3
 CHILDREN = 4
@@ -239,6 +239,9 @@ class _Join:
     def compare(self, pairs: DataFrame) -> None:
         """Link the pairs: first the likeliest partner of each document, then whatever is still apart."""
         likely = self.agreeing(pairs)
+        if likely.isEmpty():
+            self.work.drop(likely)
+            return
         best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
         self.confirm(best)
         rest = self.work.put(self.apart(likely.join(best, ["a", "b"], "left_anti")), "rest")
@@ -254,14 +257,16 @@ class _Join:
             self.compare(self.apart(others.select("a", F.col("centre").alias("b"))))
             # the centre has met all others, so what is left of a node are those others
             left = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp)).drop("centre"), "left")
-            small = left.filter(F.col("size") <= SMALL)
+            self.work.drop(rows)
+            small, crowded = left.filter(F.col("size") <= SMALL), left.filter(F.col("size") > SMALL)
             if not small.isEmpty():
                 self.compare(_pairs_within(small))
+            if crowded.isEmpty():
+                self.work.drop(left)
+                return
             level += 1
-            crowded = left.filter(F.col("size") > SMALL)
-            below = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp)), "nodes")
-            self.work.drop(rows, left)
-            rows = below
+            rows = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp)), "nodes")
+            self.work.drop(left)
         self.work.drop(rows)
 
 
