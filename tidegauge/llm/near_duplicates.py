@@ -48,7 +48,9 @@ GROUP = 8
 START = 3
 CHILDREN = 4
 DEEPER = 4
-SMALL = 8
+SMALL = 64
+#: Up to so many likely pairs are confirmed in one step.
+FEW = 20_000
 #: Ids that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Joins of more rows than this deal heavy keys to parts; Spark broadcasts the other side of smaller ones.
@@ -237,37 +239,39 @@ class _Join:
         return named.filter(F.col("c") != F.coalesce("d", "b")).drop("c", "d")
 
     def compare(self, pairs: DataFrame) -> None:
-        """Link the pairs: first the likeliest partner of each document, then whatever is still apart."""
+        """Link the pairs: of many first the likeliest partner of each document, then whatever is still apart."""
         likely = self.agreeing(pairs)
-        if likely.isEmpty():
-            self.work.drop(likely)
-            return
-        best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
-        self.confirm(best)
-        rest = self.work.put(self.apart(likely.join(best, ["a", "b"], "left_anti")), "rest")
-        self.confirm(rest)
-        self.work.drop(likely, best, rest)
+        n = likely.count()
+        if n > FEW:
+            best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
+            self.confirm(best)
+            rest = self.work.put(self.apart(likely).join(best, ["a", "b"], "left_anti"), "rest")
+            self.work.drop(likely, best)
+            likely = rest
+        self.confirm(likely)
+        self.work.drop(likely)
 
     def run_trees(self, first: int) -> None:
         """One group of trees, level by level, until no node has documents of several components."""
         rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first), self.comp)), "nodes")
-        level = 0
-        while not rows.isEmpty():
+        left, level = None, 0
+        while True:
+            # the centres of this level, and all pairs of the small nodes that the level above left
             others = rows.filter(F.col("a") != F.col("centre"))
-            self.compare(self.apart(others.select("a", F.col("centre").alias("b"))))
-            # the centre has met all others, so what is left of a node are those others
-            left = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp)).drop("centre"), "left")
-            self.work.drop(rows)
-            small, crowded = left.filter(F.col("size") <= SMALL), left.filter(F.col("size") > SMALL)
-            if not small.isEmpty():
-                self.compare(_pairs_within(small))
-            if crowded.isEmpty():
-                self.work.drop(left)
-                return
+            pairs = self.apart(others.select("a", F.col("centre").alias("b")))
+            if left is not None:
+                pairs = pairs.unionByName(_pairs_within(left.filter(F.col("size") <= SMALL)))
+            self.compare(pairs)
+            # a centre has met all others of its node, so what is left of a node are those others
+            after = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp)).drop("centre"), "left")
+            self.work.drop(rows, left)
+            left = after
+            if left.isEmpty():
+                break
             level += 1
+            crowded = left.filter(F.col("size") > SMALL)
             rows = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp)), "nodes")
-            self.work.drop(left)
-        self.work.drop(rows)
+        self.work.drop(left)
 
 
 def _classified(docs: DataFrame) -> DataFrame:
