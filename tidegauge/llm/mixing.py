@@ -2,9 +2,10 @@
 
 Each source's documents are shuffled by a hash and laid end to end; the stream is cut into blocks of equal words and may
 be read twice. A source gives its target, rounded to whole words and one word at least: so many blocks that they cover it,
-the last one cut where the target ends. The blocks of a source stand at even steps through the mix, its number times the
-golden ratio shifting them, and the slots of the schedule are the ranks of all blocks by that place. Any stretch of the
-schedule then holds every source close to its share. The mix is the join of slots with blocks.
+the last one cut where the target ends. Golden-ratio points are mapped through the cumulative block counts of the sources,
+and the rank of a point among those of its source is the number of the block that it takes, until every source has all its
+blocks. Any stretch of the schedule then holds every source close to its share, and the amounts are exact. The mix is the
+join of slots with blocks.
 
 Targets: sources ordered by code point, null last, weigh 5, 2, 1 in turn and share 150 % of all words; a target stops at
 twice its source's words, and what is left over is shared again by weight. This is min(cap, level * weight) for the one
@@ -23,7 +24,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +38,7 @@ BLOCK_WORDS = 512
 GOLDEN = 0.6180339887498949
 _SLOTS_PER_BUCKET = 65_536
 _STRETCH = 4096
+_PART = 1 << 20
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -64,24 +66,47 @@ def targets(sized: DataFrame) -> DataFrame:
     return per.select("source_no", "source", "source_size", "target")
 
 
+def golden_point(i: Column) -> Column:
+    """frac(i * golden ratio). High and low part of i are multiplied apart, so that large numbers keep their fraction."""
+    high, low = F.floor(i / _PART), i % _PART
+    point = high * F.lit(_PART * GOLDEN % 1.0)
+    point = point - F.floor(point) + low * F.lit(GOLDEN)
+    return point - F.floor(point)
+
+
 def schedule(named: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(slot, source_no, block, words): the block of each slot and how many of its words the mix takes.
 
-    Block numbers run on into the second reading. The words of a source add up to its rounded target.
+    Point i is frac(i * golden); the source whose stretch of the cumulative block counts holds it gets the next block.
+    Points go on until every source has all its blocks; points of sources that are done by then are left out and slots
+    numbered anew. No gap between 2 n points is as long as 1 / n, so 2 n points do for n blocks; this is looked up, not
+    trusted. Block numbers run on into the second reading. The words of a source add up to its rounded target.
     """
     open_ = named.filter("target > 0").select("source_no", F.greatest(F.round("target"), F.lit(1.0)).cast("long").alias("quota"))
     open_ = open_.withColumn("n_blocks", F.ceil(F.col("quota") / block_words).cast("long"))
+    # one row for each source: the only ordering of a whole table
+    open_ = open_.withColumn("first_cell", F.sum("n_blocks").over(Window.orderBy("source_no")) - F.col("n_blocks"))
     n = open_.agg(F.sum("n_blocks")).first()[0] or 0
     parts = max(1, min(n // _SLOTS_PER_BUCKET + 1, 10_000))
-    # stretches of blocks are dealt out before they become rows, so that a large source is not one task
-    stretch = open_.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(_STRETCH).cast("long")))).repartition(parts)
-    blocks = stretch.withColumn("block", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _STRETCH, F.col("n_blocks")) - 1)))
+    # the unit interval is n cells, each of one source; stretches of cells are dealt out before they become rows
+    stretch = open_.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1, F.lit(_STRETCH).cast("long")))).repartition(parts)
+    inside = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + _STRETCH, F.col("n_blocks")) - 1))
+    cells = stretch.select("source_no", "quota", "n_blocks", "first_cell", inside.alias("nth")).withColumn("cell", F.col("first_cell") + F.col("nth")).drop("first_cell", "nth")
+    spark = named.sparkSession
+    last = 2 * n + 64 if n else 0
+    while True:
+        points = spark.range(1, last + 1, numPartitions=parts).withColumnRenamed("id", "i")
+        points = points.withColumn("cell", F.least(F.floor(golden_point(F.col("i")) * n), F.lit(n - 1)).cast("long"))
+        placed = points.join(cells, "cell").withColumn("bucket", F.floor(F.col("i") / _SLOTS_PER_BUCKET))
+        reached = placed.groupBy("source_no", "n_blocks").agg(F.count("*").alias("hits")).filter("hits >= n_blocks").count() if n else 0
+        if reached == open_.count():
+            break
+        last *= 2
+    ranks = ordered.ranked(placed, ["source_no"], ["bucket"], [F.col("i")], "nth").filter(F.col("nth") <= F.col("n_blocks"))
+    blocks = ranks.select("i", "bucket", "source_no", "quota", (F.col("nth") - 1).cast("long").alias("block"))
     blocks = blocks.withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("quota") - F.col("block") * block_words))
-    shift = (F.col("source_no") + 1) * F.lit(GOLDEN)
-    place = (F.col("block") * block_words + (shift - F.floor(shift)) * F.col("words")) / F.col("quota")
-    placed = blocks.withColumn("place", place).withColumn("bucket", F.floor(F.col("place") * parts))
-    ranks = ordered.ranked(placed, [], ["bucket"], [F.col("place"), F.col("source_no"), F.col("block")], "rank")
-    return ranks.select((F.col("rank") - 1).alias("slot"), "source_no", "block", "words")
+    slots = ordered.ranked(blocks, [], ["bucket"], [F.col("i")], "rank")
+    return slots.select((F.col("rank") - 1).alias("slot"), "source_no", "block", "words", "i")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -116,11 +141,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> tuple
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken besides their own columns.
 
-    Of documents that repeat an id and text, each copy has its row, numbered by the order of the join.
+    Of documents that repeat an id and text, each copy has its row, numbered by the order of the join. Own columns named
+    size, source_size, target or taken give way to those of the mix.
     """
     per = mix(docs)[1].filter("taken > 0")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    numbered = docs.select(*own, text_key().alias(KEY)).withColumn("copy", F.row_number().over(Window.partitionBy(ID, KEY, "source").orderBy(F.lit(1))))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    numbered = docs.select(*own, text_key().alias(KEY)).withColumn("__nth", F.row_number().over(Window.partitionBy(ID, KEY, "source").orderBy(F.lit(1))))
     other = per.select(F.col(ID).alias("__id"), F.col(KEY).alias("__key"), F.col("source").alias("__source"), F.col("copy").alias("__copy"), "size", "source_size", "target", "taken")
-    on = F.col(ID).eqNullSafe(F.col("__id")) & (F.col(KEY) == F.col("__key")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("copy") == F.col("__copy"))
-    return numbered.join(other, on).select(*[f"`{c}`" for c in own], "size", "source_size", "target", "taken")
+    on = F.col(ID).eqNullSafe(F.col("__id")) & (F.col(KEY) == F.col("__key")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__nth") == F.col("__copy"))
+    return numbered.join(other, on).select(*own, "size", "source_size", "target", "taken")
