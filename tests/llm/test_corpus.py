@@ -571,3 +571,14 @@ def test_near_duplicates_judge_texts_of_one_id_apart(spark):
     assert got == sorted([("a1", 56, "a1", True), ("a1", 56, "a1", True), ("a2", 57, "a1", False), ("a2", 57, "a1", False), ("", 56, "a1", False), ("e", 0, "e", True), ("e", 0, "e", True)])
     left = sorted(((r.doc_id, r.text) for r in near_duplicates.keep_one(docs).collect()), key=str)
     assert left == sorted([("a1", a), ("a1", other), ("e", None), ("e", None)], key=str)
+
+
+def test_components_of_few_and_of_many_links(spark, monkeypatch):
+    """A long chain, a star, a ring and repeated links: one task and rounds of joins give the same components."""
+    links = [(i + 1, i) for i in range(60)] + [(100, 200 + i) for i in range(40)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(-5, -7), (-5, -7), (400, 400)]
+    want = {i: 0 for i in range(61)} | {i: 100 for i in [100, *range(200, 240)]} | {i: 300 for i in range(300, 309)} | {-5: -7, -7: -7, 400: 400}
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    for few in (len(links), 0):
+        monkeypatch.setattr(near_duplicates, "FEW", few)
+        work = near_duplicates.Scratch(spark, "links")
+        assert {r.a: r.c for r in near_duplicates.components(df, work, len(links))[0].collect()} == want

@@ -42,14 +42,14 @@ SHINGLE = 5
 PERCENT = 75
 COORDINATES = 72
 TREES = 24
-#: Trees that run together; links are merged between groups.
-GROUP = 8
+#: Trees that run together; links are merged between groups. The first group finds nearly all links.
+GROUPS = ((0, 8), (8, TREES))
 #: Coordinates of a tree's first level, and children and coordinates of each deeper one.
 START = 3
 CHILDREN = 4
 DEEPER = 4
 SMALL = 64
-#: Up to so many likely pairs are confirmed in one step.
+#: Up to so many likely pairs are confirmed in one step; the components of up to so many links are found in one task.
 FEW = 20_000
 #: Ids that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
@@ -63,9 +63,9 @@ _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x632BE5
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of the set under each of the hash functions, 32 bits of each."""
-    out = np.empty(COORDINATES, dtype=np.uint64)
-    for i, s in enumerate(_SEEDS):
-        out[i] = (shingles * s).min()
+    out = (shingles[:1024] * _SEEDS[:, None]).min(axis=1)
+    for at in range(1024, len(shingles), 1024):
+        np.minimum(out, (shingles[at : at + 1024] * _SEEDS[:, None]).min(axis=1), out=out)
     return (mix(out) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -85,15 +85,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return append(lean(docs, ID, "text").withColumn("key", text_key()), run, "n long, fp1 long, fp2 long, sig array<int>").drop("text")
 
 
-def _looked_up(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table of one row per key; the rows of heavy keys are dealt to parts if there are many."""
-    return spread_join(rows, lookup, [on], how) if rows.count() > MANY else rows.join(lookup, on, how)
+def _looked_up(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner", n: int | None = None) -> DataFrame:
+    """``rows`` joined with a table of one row per key; the rows of heavy keys are dealt to parts if there are many.
+
+    ``n``: the number of rows, if it is known.
+    """
+    return spread_join(rows, lookup, [on], how) if (rows.count() if n is None else n) > MANY else rows.join(lookup, on, how)
 
 
-def _first_nodes(sets: DataFrame, first: int) -> DataFrame:
-    """(node, a) of one group of trees."""
+def _first_nodes(sets: DataFrame, first: int, end: int) -> DataFrame:
+    """(node, a) of the trees from ``first`` to before ``end``."""
     own = lambda r: F.xxhash64(F.lit("tree"), r, *[F.element_at("sig", (r * START + i + 1).cast("int")) for i in range(START)])
-    trees = F.sequence(F.lit(first), F.lit(min(first + GROUP, TREES) - 1))
+    trees = F.sequence(F.lit(first), F.lit(end - 1))
     return sets.select("a", F.explode(F.transform(trees, own)).alias("node"))
 
 
@@ -114,15 +117,19 @@ def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(comp, "a", "left").withColumn("c", F.coalesce("c", "a"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, n: int) -> DataFrame:
     """(node, a, c, size, centre) of nodes with documents of several components; ``rows`` has node, a and c.
 
+    ``n`` is a bound of the number of rows; of many, those of heavy nodes are dealt to parts.
+
     The centre is the smallest number after mixing it with the node's own key, so that a document is not the centre of
     all the nodes it is in.
     """
     own = F.col("a").bitwiseXOR(F.col("node"))
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(own).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
     nodes = nodes.select("node", "n", F.col("n").alias("size"), F.col("m").bitwiseXOR(F.col("node")).alias("centre"))
+    if n <= MANY:
+        return rows.join(nodes.drop("n"), "node")
     return spread_join(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", "n"))
 
 
@@ -133,19 +140,40 @@ def _pairs_within(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*")
 
 
-def components(links: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, c): the smallest number reachable from each end of the links (a, b); and the written table that holds it.
+def _united(batches):
+    """(a, c): the smallest number reachable from each end of a few links (a, b), all in one task."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for b in batches:
+        for p, q in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+            x, y = root(above.setdefault(p, p)), root(above.setdefault(q, q))
+            above[max(x, y)] = min(x, y)
+    yield {"a": list(above), "c": [root(x) for x in above]}
 
-    Each round takes the smallest label of the neighbours and then the label of that label. Tables are written, so that
+
+def components(links: DataFrame, work: Scratch, n: int) -> tuple[DataFrame, DataFrame]:
+    """(a, c): the smallest number reachable from each end of the ``n`` links (a, b); and the written table that holds it.
+
+    Few links are united in one task, as most steps have few and rounds over small tables take longer than their rows.
+    Of more, each round takes the smallest label of the neighbours and then the label of that label. Tables are written, so that
     neither the plan nor a lost executor makes a round run twice.
     """
+    if n <= FEW:
+        few = work.put(map_texts(links.select("a", "b").repartition(1), _united, "a long, c long"), "united")
+        return few, few
     edges = work.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = work.put(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "labels")
     while True:
-        near = _looked_up(edges, labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
+        near = _looked_up(edges, labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b", n=2 * n).groupBy("a").agg(F.min("cb").alias("m"))
         lower = work.put(labels.join(near, "a").select("a", "c", F.least("c", "m").alias("d")), "lower")
         jump = labels.select(F.col("a").alias("d"), F.col("c").alias("e"))
-        new = work.put(_looked_up(lower, jump, "d", "left").select("a", F.least("d", F.coalesce("e", "d")).alias("c"), F.col("c").alias("was")), "labels")
+        new = work.put(_looked_up(lower, jump, "d", "left", n=2 * n).select("a", F.least("d", F.coalesce("e", "d")).alias("c"), F.col("c").alias("was")), "labels")
         work.drop(labels, lower)
         if new.filter("c != was").isEmpty():
             work.drop(edges)
@@ -158,6 +186,8 @@ class _Join:
 
     def __init__(self, docs: DataFrame, sets: DataFrame, work: Scratch):
         self.docs, self.sets, self.work = docs, sets, work
+        self.size, most = sets.agg(F.count("*"), F.max("copies")).first()
+        self.repeats = (most or 1) > 1
         self.full: DataFrame | None = None
         self.comp: DataFrame | None = None
 
@@ -173,30 +203,27 @@ class _Join:
         self.work.drop(pairs)
         return likely
 
-    def load(self, pairs: DataFrame) -> None:
-        """Make the full sets of all ends of the pairs from their whole texts, but for those that are there already."""
+    def load(self, pairs: DataFrame, n: int) -> None:
+        """Make the full sets of all ends of the ``n`` pairs from their whole texts, but for those that are there already."""
         wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
         if self.full is not None:
             wanted = wanted.join(self.full.select("a"), "a", "left_anti")
-        wanted = self.work.put(self.sets.select("a", F.col(ID).alias("__id"), F.col("key").alias("__key"), "copies").join(wanted, "a"), "wanted")
-        n, repeats = wanted.agg(F.count("*"), F.max("copies")).first()
-        if n == 0:
-            return
+        wanted = self.sets.select("a", F.col(ID).alias("__id"), F.col("key").alias("__key")).join(wanted, "a")
 
         def run(batches):
             for b in batches:
                 yield {"a": b["a"], "s": [shingle_hashes(token_hashes(t or ""), SHINGLE).tobytes() for t in b["text"].to_pylist()]}
 
-        few = F.broadcast(wanted) if n <= MAX_BROADCAST else wanted
+        few = F.broadcast(wanted) if 2 * n <= MAX_BROADCAST else wanted
         rows = lean(self.docs, ID, "text").withColumn("key", text_key())
         texts = rows.join(few, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("a", text_of().alias("text"))
-        if repeats > 1:
+        if self.repeats:
             texts = texts.dropDuplicates(["a"])
         part = self.work.put(map_texts(texts, run, "a long, s binary"), "full")
         self.full = part if self.full is None else self.full.unionByName(part)
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Merge the components of the pairs whose full sets reach the threshold: 100 * intersection >= 75 * union."""
+    def confirm(self, pairs: DataFrame, n: int) -> None:
+        """Merge the components of the ``n`` pairs whose full sets reach the threshold: 100 * intersection >= 75 * union."""
         def run(batches):
             for b in batches:
                 keep = []
@@ -207,35 +234,36 @@ class _Join:
                 hit = np.flatnonzero(keep)
                 yield {"a": b["a"].take(hit), "b": b["b"].take(hit)}
 
-        if pairs.isEmpty():
+        if n == 0:
             return
-        self.load(pairs)
-        there = _looked_up(pairs.select("a", "b"), self.full.select(F.col("a").alias("b"), F.col("s").alias("t")), "b")
+        self.load(pairs, n)
+        there = _looked_up(pairs.select("a", "b"), self.full.select(F.col("a").alias("b"), F.col("s").alias("t")), "b", n=n)
         links = self.work.put(map_texts(there.join(self.full, "a").select("a", "b", "s", "t"), run, "a long, b long"), "links")
-        if not links.isEmpty():
-            self.merge(links)
+        found = links.count()
+        if found:
+            self.merge(links, found)
         self.work.drop(links)
 
-    def merge(self, links: DataFrame) -> None:
-        """Add links to the components: the graph of this step has one vertex for each component so far."""
+    def merge(self, links: DataFrame, n: int) -> None:
+        """Add ``n`` links to the components: the graph of this step has one vertex for each component so far."""
         ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
         base = ends.withColumn("c", F.col("a"))
         if self.comp is not None:
             base = self.comp.unionByName(base.join(self.comp.select("a"), "a", "left_anti"))
         base = self.work.put(base, "base")
-        one = _looked_up(links, base.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").join(base, "a")
-        found, written = components(one.select(F.col("c").alias("a"), F.col("d").alias("b")), self.work)
+        one = _looked_up(links, base.select(F.col("a").alias("b"), F.col("c").alias("d")), "b", n=n).join(base, "a")
+        found, written = components(one.select(F.col("c").alias("a"), F.col("d").alias("b")), self.work, n)
         raised = found.select(F.col("a").alias("c"), F.col("c").alias("e"))
         comp = self.work.put(_looked_up(base, raised, "c", "left").select("a", F.coalesce("e", "c").alias("c")), "components")
         self.work.drop(base, written, self.comp)
         self.comp = comp
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
+    def apart(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Those of at most ``n`` pairs whose ends are in different components."""
         if self.comp is None:
             return pairs
         other = self.comp.select(F.col("a").alias("b"), F.col("c").alias("d"))
-        named = _labelled(_looked_up(pairs, other, "b", "left"), self.comp)
+        named = _labelled(_looked_up(pairs, other, "b", "left", n=n), self.comp)
         return named.filter(F.col("c") != F.coalesce("d", "b")).drop("c", "d")
 
     def compare(self, pairs: DataFrame) -> None:
@@ -244,33 +272,36 @@ class _Join:
         n = likely.count()
         if n > FEW:
             best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
-            self.confirm(best)
-            rest = self.work.put(self.apart(likely).join(best, ["a", "b"], "left_anti"), "rest")
+            self.confirm(best, n)
+            rest = self.work.put(self.apart(likely, n).join(best, ["a", "b"], "left_anti"), "rest")
             self.work.drop(likely, best)
-            likely = rest
-        self.confirm(likely)
+            likely, n = rest, rest.count()
+        self.confirm(likely, n)
         self.work.drop(likely)
 
-    def run_trees(self, first: int) -> None:
+    def run_trees(self, first: int, end: int) -> None:
         """One group of trees, level by level, until no node has documents of several components."""
-        rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first), self.comp)), "nodes")
+        n = self.size * (end - first)
+        rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first, end), self.comp), n), "nodes")
         left, level = None, 0
         while True:
+            n = rows.count()
             # the centres of this level, and all pairs of the small nodes that the level above left
             others = rows.filter(F.col("a") != F.col("centre"))
-            pairs = self.apart(others.select("a", F.col("centre").alias("b")))
+            pairs = self.apart(others.select("a", F.col("centre").alias("b")), n)
             if left is not None:
                 pairs = pairs.unionByName(_pairs_within(left.filter(F.col("size") <= SMALL)))
             self.compare(pairs)
             # a centre has met all others of its node, so what is left of a node are those others
-            after = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp)).drop("centre"), "left")
+            after = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp), n).drop("centre"), "left")
             self.work.drop(rows, left)
             left = after
-            if left.isEmpty():
+            n = left.count()
+            if n == 0:
                 break
             level += 1
             crowded = left.filter(F.col("size") > SMALL)
-            rows = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp)), "nodes")
+            rows = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp), n * CHILDREN), "nodes")
         self.work.drop(left)
 
 
@@ -287,8 +318,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     repeats = rows.filter("copies > 1").select(F.col(ID).alias("__id"), F.col("key").alias("__k"), "copies")
     named = sets.join(repeats, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__k")), "left")
     join = _Join(docs, named.select("a", ID, "key", "n", "sig", F.coalesce("copies", F.lit(1)).alias("copies")), work)
-    for first in range(0, TREES, GROUP):
-        join.run_trees(first)
+    for first, end in GROUPS:
+        join.run_trees(first, end)
     # a set's own rank is in its row, so the smallest row of a component needs no other look at the documents
     marked = _labelled(sets.select("a", "n", "fp1", "fp2", rank.alias("r")), join.comp)
     least = marked.groupBy("c").agg(F.min("r").alias("least"))
