@@ -123,6 +123,34 @@ def test_rate_thresholds(spark, data):
         assert r["alert_rate"] == pytest.approx((p >= r["threshold"]).mean())
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_groups_by_list_and_by_join(spark, data, few, monkeypatch):
+    """Every group is judged by its own thresholds and edges, one with most rows too; a null group has no row."""
+    monkeypatch.setattr(evaluate, "FEW_GROUPS", few)
+    y, p = data
+    group = np.where(np.arange(len(y)) % 10 < 8, "hot", "rest")
+    rows = [(int(a), float(b), str(g), 1) for a, b, g in zip(y, p, group)] + [(1, 0.5, None, 1)]
+    df = spark.createDataFrame(rows, "label int, prob double, g string, h int")
+    swept = evaluate.sweep_rates(df, [0.1, 0.3], by=["g", "h"]).collect()
+    assert {r["g"] for r in swept} == {"hot", "rest"} and len(swept) == 4
+    for r in swept:
+        own = group == r["g"]
+        assert r["alert_rate"] == pytest.approx((p[own] >= r["threshold"]).mean())
+        assert r["TP"] == int(((p >= r["threshold"]) & (y == 1) & own).sum())
+    eces = {r["g"]: r["ece"] for r in evaluate.ece(df, by=["g", "h"], bins=5, strategy="quantile").collect()}
+    for g in ("hot", "rest"):
+        own = group == g
+        assert eces[g] == pytest.approx(ece_by_definition(y[own], p[own], np.unique(np.quantile(p[own], np.linspace(0, 1, 6)))))
+
+
+def test_few_groups_move_no_rows(spark, data):
+    """Bins of few groups: the rows meet their edges without a join."""
+    y, p = data
+    df = spark.createDataFrame([(int(a), float(b), "x") for a, b in zip(y, p)], "label int, prob double, g string")
+    plan = evaluate.with_quantile_bins(df, "prob", ["g"], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and ":" not in line.split("Join")[0]]
+
+
 def test_missing_scores(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 0, 0.4), (2, 1, None)], "stay_id long, label int, prob double")
     assert {(r["stay_id"], r["prob"]) for r in evaluate.pool(df, missing="zero").collect()} == {(1, 0.4), (2, 0.0)}

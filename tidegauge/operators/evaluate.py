@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import head, previous_value, quantiles, running_sums, value_bucket
 from tidegauge.functions.scoring import edges_at_or_below
+from tidegauge.functions.spread import spread_join
 
 # Numbers of calibration bins, curve thresholds and alert thresholds.
 N_BINS = 20
@@ -16,6 +19,8 @@ DCA_THRESHOLDS = tuple(0.01 + i * ((0.99 - 0.01) / 98) for i in range(98)) + (0.
 ALERT_THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 FLOOR = 1e-12
 
+#: Groups whose thresholds or edges are looked up in one list; with more, they are joined.
+FEW_GROUPS = 64
 
 #: A threshold is kept this far from 0 and 1 where its odds are taken.
 ODDS_CLIP = 1e-6
@@ -267,6 +272,21 @@ def threshold_for_rate(df: DataFrame, rate: float, prob: str = "prob", by: Seque
     return quantiles(df, prob, [1.0 - rate], by, out="threshold").select(*by, "threshold")
 
 
+def _with_group_value(rows: DataFrame, values: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds the column ``name`` of a table with one row per group. Rows whose group is null or not there go.
+
+    Up to ``FEW_GROUPS`` groups enter as one scalar list, so no row moves; with more, rows of heavy groups are dealt to
+    parts of a join.
+    """
+    if not keys:
+        return rows.withColumn(name, values.select(name).scalar())
+    if rows.select(*keys).distinct().limit(FEW_GROUPS + 1).count() > FEW_GROUPS:
+        return spread_join(rows, values, keys)
+    listed = values.select(F.struct(*keys, name).alias("v")).agg(F.collect_list("v").alias("all")).scalar()
+    own = F.filter("__groups", lambda v: reduce(and_, [v[k] == F.col(k) for k in keys]))
+    return rows.withColumn("__groups", listed).withColumn("__own", F.get(own, F.lit(0))).where("__own is not null").withColumn(name, F.col("__own")[name]).drop("__groups", "__own")
+
+
 def sweep_rates(pooled: DataFrame, rates: Sequence[float], label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
     """For each target alert rate the quantile threshold and its metrics, ``target_rate`` first.
 
@@ -276,10 +296,7 @@ def sweep_rates(pooled: DataFrame, rates: Sequence[float], label: str = "label",
     wanted = {1.0 - r: r for r in rates}
     thr = quantiles(pooled, prob, list(wanted), keys, prob_col="__q", out="threshold")
     arrays = thr.groupBy(*keys).agg(F.array_sort(F.collect_set("threshold")).alias("__ts"))
-    if keys:
-        tagged = pooled.join(arrays, keys)
-    else:
-        tagged = pooled.withColumn("__ts", arrays.select("__ts").scalar())
+    tagged = _with_group_value(pooled, arrays, keys, "__ts")
     k = F.size(F.filter("__ts", lambda t: t <= F.col(prob)))
     buckets = (
         tagged.where(valid(prob))
@@ -361,10 +378,7 @@ def with_quantile_bins(df: DataFrame, prob: str, by: Sequence[str], bins: int) -
     arrays = edges.groupBy(*keys).agg(F.array_sort(F.collect_set("q")).alias("__edges"))
     uniform = F.array(*[F.lit(e) for e in uniform_edges(bins)])
     arrays = arrays.withColumn("__edges", F.when(F.size("__edges") < bins + 1, uniform).otherwise(F.col("__edges")))
-    if keys:
-        tagged = df.join(arrays, keys)
-    else:
-        tagged = df.withColumn("__edges", arrays.select("__edges").scalar())
+    tagged = _with_group_value(df, arrays, keys, "__edges")
     k = F.size(F.filter("__edges", lambda e: e <= F.col(prob))) - 1
     return tagged.withColumn("__bin", F.least(F.greatest(k, F.lit(0)), F.size("__edges") - 2)).drop("__edges")
 
