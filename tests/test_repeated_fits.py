@@ -25,3 +25,27 @@ def test_ablation_takes_other_imputation(rows):
     out = model.ablate(rows, ["good", "weak", "noise"], {"signal": "^good"}, k=2, trees=2, depth=2, impute="approximate").toPandas()
     assert list(zip(out.setting, out.group, out.n_features)) == [("baseline_all", "-", 3), ("drop-one", "signal", 2), ("drop-one", "others", 1), ("keep-only", "signal", 1), ("keep-only", "others", 2)]
     assert out.AUROC_mean[0] > 0.8 > out.AUROC_mean[1]
+
+
+def test_importance_scores_copies_in_many_tasks(spark, rows, monkeypatch):
+    m = model.train(rows, ["good", "weak", "noise"], trees=4, depth=3)
+    seen = []
+    keep = model.donors
+    monkeypatch.setattr(model, "donors", lambda *a: seen.append(a[4]) or keep(*a))
+    whole = model.permutation_importance(m, rows, ["good", "weak", "noise"], repeats=2).toPandas()
+    monkeypatch.setattr(model, "COPIES_PER_TASK", 300)
+    cut = model.permutation_importance(m, rows, ["good", "weak", "noise"], repeats=2).toPandas()
+    assert seen == [1, 1, 6, 6]
+    assert whole.feature.tolist() == cut.feature.tolist() and np.allclose(whole.importance_mean, cut.importance_mean)
+    spread = keep(rows, ["stay_id", "index_time"], ["good"], 1, 6)
+    assert spread.rdd.getNumPartitions() == 6 and spread.count() == 600
+
+
+def test_cut_points_send_no_rows_to_the_driver(spark):
+    from tidegauge.functions.ordered import nth_from_hash
+
+    hashed = spark.range(1000).select(F.xxhash64("id").bitwiseAND((1 << 60) - 1).alias("h"))
+    cut = nth_from_hash(hashed, "h", {"cut": F.lit(200)})
+    assert hashed.where(F.col("h") < cut.first()["cut"]).count() == 200
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
