@@ -582,3 +582,12 @@ def test_components_of_few_and_of_many_links(spark, monkeypatch):
         monkeypatch.setattr(near_duplicates, "FEW", few)
         work = near_duplicates.Scratch(spark, "links")
         assert {r.a: r.c for r in near_duplicates.components(df, work, len(links))[0].collect()} == want
+
+
+def test_personal_data_learns_from_all_candidates(spark, monkeypatch):
+    text = " ".join(f"mail a{i}@site{i}.org" for i in range(700)) + " " + " ".join(f"host 10.0.{i}.999" for i in range(100))
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("x "), F.lit(text)).alias("text"))
+    sizes, keep = [], personal_data.stored
+    monkeypatch.setattr(personal_data, "stored", lambda df, name: sizes.append(keep(df, name)) or sizes[-1])
+    assert personal_data.fit(personal_data.candidates(docs)) is not None
+    assert sizes[0].count() == 30 * 800

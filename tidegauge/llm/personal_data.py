@@ -32,8 +32,6 @@ from pyspark.sql.window import Window
 from tidegauge.llm.common import ID, KEY, lean, stored, text_key, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates from which the trees are fitted and calibrated, at most, chosen by a hash.
-MAX_TRAIN = 20_000
 PRECISION = 0.9
 MIN_CALIBRATION = 20
 TREES, DEPTH = 10, 4
@@ -189,12 +187,12 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_featured(rows))
 
 
-def fit(found: DataFrame, max_train: int = MAX_TRAIN) -> tuple[GBTClassificationModel, dict[int, float]] | None:
-    """Trees and a threshold for each kind, from candidates of strict patterns; None if the rules judged all alike."""
+def fit(found: DataFrame) -> tuple[GBTClassificationModel, dict[int, float]] | None:
+    """Trees and a threshold for each kind, from all candidates of strict patterns; None if the rules judged all alike."""
     judged = found.select(F.explode_outer("found").alias("s")).filter("s.strict").select("s", F.col("s.base").cast("double").alias("label"))
     order = F.xxhash64("s.value", "s.left", "s.kind")
-    sample = stored(_assembled(judged.withColumn("h", order).orderBy("h", "s.start", "label").limit(max_train)).select("h", F.col("s.kind").alias("kind"), "label", "features"), "judged")
-    training, kept = sample.filter(F.pmod("h", F.lit(4)) != 0), sample.filter(F.pmod("h", F.lit(4)) == 0)
+    every = stored(_assembled(judged.withColumn("h", order)).select("h", F.col("s.kind").alias("kind"), "label", "features"), "judged")
+    training, kept = every.filter(F.pmod("h", F.lit(4)) != 0), every.filter(F.pmod("h", F.lit(4)) == 0)
     if training.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32).fit(training)
@@ -206,13 +204,13 @@ def fit(found: DataFrame, max_train: int = MAX_TRAIN) -> tuple[GBTClassification
     return model, {r["kind"]: r["threshold"] for r in fine.collect()}
 
 
-def detect(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, spans): base spans and all spans of each row as sorted structs kind, start, end."""
     found = stored(candidates(docs), "candidates")
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("found", lambda s: s["base"]), plain))
     own = found.select(ID, KEY, base.alias("base"))
-    fitted = fit(found, max_train)
+    fitted = fit(found)
     if fitted is None or not fitted[1]:
         return own.withColumn("spans", F.col("base"))
     model, thresholds = fitted
