@@ -49,3 +49,15 @@ def test_cut_points_send_no_rows_to_the_driver(spark):
     assert hashed.where(F.col("h") < cut.first()["cut"]).count() == 200
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_medians_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 999, 30_000):
+        pdf = pd.DataFrame({"a": rng.normal(size=n), "b": np.floor(rng.random(n) * 3), "c": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n))})
+        df = spark.createDataFrame(pdf).withColumn("d", F.lit(None).cast("double"))
+        got = {r["feature"]: r["value"] for r in model.fill_values(df, ["a", "b", "c", "d"]).collect()}
+        assert {f: v for f, v in got.items() if v is not None} == pytest.approx(pdf.median().dropna().to_dict(), rel=1e-15)
+    monkeypatch.setattr(model, "BRACKET", (0.1, 0.2))  # misses the middle
+    got = {r["feature"]: r["value"] for r in model.fill_values(df, ["a", "b", "c"]).collect()}
+    assert got == pytest.approx(pdf.median().to_dict(), rel=1e-15)
