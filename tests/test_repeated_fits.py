@@ -61,3 +61,19 @@ def test_medians_are_exact(spark, monkeypatch):
     monkeypatch.setattr(model, "BRACKET", (0.1, 0.2))  # misses the middle
     got = {r["feature"]: r["value"] for r in model.fill_values(df, ["a", "b", "c"]).collect()}
     assert got == pytest.approx(pdf.median().to_dict(), rel=1e-15)
+
+
+def test_shared_stages_give_the_same_forests(rows, monkeypatch):
+    folded = model.in_folds(rows, "stay_id", 2, 42)
+    fitted = []
+    keep = model.fit_front
+    monkeypatch.setattr(model, "fit_front", lambda *a, **o: fitted.append(a[1]) or keep(*a, **o))
+    names, some = ["good", "weak", "noise"], ["noise", "good"]
+    options = {"trees": 3, "depth": 3, "impute": "mean", "center": True}
+    for cols in (names, some):
+        alone = model.cv(folded, cols, 2, **options).first()
+        assert not fitted
+        shared = model.cv(folded, cols, 2, before=[keep(folded.where(F.col("fold") != f), names, impute="mean", center=True) for f in range(2)], **options).first()
+        assert alone == shared
+    out = model.grid_search(folded, names, {"n_estimators": [2, 3], "max_depth": [2]}, 2)
+    assert out.count() == 2 and len(fitted) == 2
