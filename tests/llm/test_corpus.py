@@ -342,6 +342,27 @@ def test_class_model_is_a_distribution(spark, sf):
     assert np.allclose(per_class + unseen + rest, 1)
 
 
+def test_class_model_splits_texts_once_for_all_counting_passes(spark, sf, monkeypatch):
+    coded = []
+    real = class_model.unit_texts
+    monkeypatch.setattr(class_model, "unit_texts", lambda *a: coded.append(1) or real(*a))
+    class_model.fit(table(spark, sf, "documents"))
+    assert coded == [1]
+
+
+def test_context_counts_of_texts(spark):
+    docs = spark.createDataFrame([("a b a",), ("",), ("b",)], "text string").repartition(2)
+    ha, hb = (class_model.token_hashes(w)[0] for w in "ab")
+    words = np.sort(np.array([ha, hb]))
+    units = np.where(words == ha, 0, 1)
+    classes = np.zeros(class_model.UNITS, dtype=np.int64)
+    classes[1], classes[class_model.END_UNIT] = 5, class_model.END_CLASS
+    left, right = class_model.context_counts(class_model.unit_texts(docs, words, units), classes)
+    end, e = class_model.END_CLASS, class_model.END_UNIT
+    assert {(u, c): left[u, c] for u, c in zip(*np.nonzero(left))} == {(0, end): 1, (0, 5): 1, (1, 0): 1, (1, end): 1, (e, 0): 1, (e, 5): 1, (e, end): 1}
+    assert {(u, c): right[u, c] for u, c in zip(*np.nonzero(right))} == {(0, 5): 1, (0, end): 1, (1, 0): 1, (1, end): 1, (e, 0): 1, (e, 5): 1, (e, end): 1}
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     left, right = np.zeros((class_model.UNITS, class_model.CLASSES + 1)), np.zeros((class_model.UNITS, class_model.CLASSES + 1))
