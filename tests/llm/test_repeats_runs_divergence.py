@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,27 @@ def in_order(rows):
     return sorted(rows, key=lambda r: (_low(r[0]), r[1:]))
 
 
+@pytest.mark.parametrize("chunk", [1, 150, byte_repeats.CHUNK])
+def test_texts_are_cut_many_at_once(monkeypatch, chunk):
+    """Texts of one batch, cut in chunks of about so many bytes: neighbours that are gone as a whole stay two runs."""
+    monkeypatch.setattr(byte_repeats, "CHUNK", chunk)
+    texts = ["a" * 60, "", "b" * 60, "c" * 49, "d" * 100, "é" * 60]
+    cut = lambda at, mask: {"doc": 0, "at": at, "mask": mask}
+    cuts = [[], [], [cut(0, 0b1)], [], [cut(0, 0b11), cut(0, 0b11), cut(50, 0b1)], [cut(5, 1 << 26)]]
+    copies = [True, True, False, True, False, False]
+    kind = pa.list_(pa.struct([("doc", pa.int64()), ("at", pa.int64()), ("mask", pa.int64())]))
+    arrays = [pa.array([1, 2, 3, None, 5, 6], pa.int64()), pa.array(texts), pa.array(copies), pa.array(cuts, kind)]
+    parts = list(byte_repeats._cut([pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "copy", "cuts"])]))
+    assert len(parts) == (6 if chunk == 1 else 3 if chunk == 150 else 1)
+    got = pa.Table.from_batches(parts).to_pylist()
+    spans = [[(r["start"], r["end"]) for r in x["removed"]] for x in got]
+    assert spans == [[(0, 60)], [], [(0, 50)], [], [(0, 100)], [(31, 81)]]
+    for x, t, gone in zip(got, texts, spans):
+        raw = t.encode()
+        assert x["n_bytes"] == len(raw)
+        assert x["kept"] == bytes(c for i, c in enumerate(raw) if not any(lo <= i < hi for lo, hi in gone))
+
+
 def test_removed_bytes_of_the_table(spark, sf):
     df = table(spark, sf, "documents")
     want = removed_by_hand([tuple(r) for r in df.select("doc_id", "text").collect()])

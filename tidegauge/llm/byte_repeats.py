@@ -344,27 +344,41 @@ _CLEANED_ARROW = pa.schema([(ID, pa.int64()), ("n_bytes", pa.int64()), ("removed
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their windows to remove to removed runs of bytes and what is left."""
+    """Texts and their windows to remove to removed runs of bytes and what is left; texts are worked on many at once."""
     for b in batches:
-        out: dict[str, list] = {"n_bytes": [], "removed": [], "kept": []}
-        texts = b.column("text").cast(pa.binary()).to_pylist()
-        for raw, copy, cuts in zip(texts, b.column("copy").to_pylist(), b.column("cuts").to_pylist()):
-            spans, kept = [], raw
-            if copy and len(raw) >= LENGTH:
-                spans, kept = [{"start": 0, "end": len(raw)}], b""
-            elif cuts and not copy:
-                step = np.zeros(len(raw) + 1, dtype=np.int32)
-                starts = np.unique(np.array([c["at"] + t for c in cuts for t in range(c["mask"].bit_length()) if c["mask"] >> t & 1]))
-                step[starts] += 1
-                step[starts + LENGTH] -= 1
-                gone = np.cumsum(step[:-1]) > 0
-                kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                spans = [{"start": s, "end": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            out["n_bytes"].append(len(raw))
-            out["removed"].append(spans)
-            out["kept"].append(kept)
-        yield pa.RecordBatch.from_arrays([b.column(ID), *[pa.array(out[f.name], type=f.type) for f in list(_CLEANED_ARROW)[1:]]], schema=_CLEANED_ARROW)
+        copies = b.column("copy").fill_null(False).to_numpy(zero_copy_only=False)
+        for first, raw, edges in _chunks(b.column("text")):
+            size, n = np.diff(edges), len(edges) - 1
+            whole = copies[first : first + n] & (size >= LENGTH)
+            cuts = b.column("cuts").slice(first, n)
+            text = np.repeat(np.arange(n), cuts.value_lengths().fill_null(0).to_numpy())
+            values = cuts.flatten()
+            at, mask = values.field("at").to_numpy(), values.field("mask").to_numpy()
+            own = ~copies[first + text]
+            text, at, mask = text[own], at[own], mask[own]
+            # a window removes LENGTH bytes from its start on, all of one text
+            starts = np.zeros(len(raw), dtype=np.int8)
+            for t in range(_SPREAD):
+                here = (mask >> t & 1).astype(bool)
+                starts[edges[text[here]] + at[here] + t] = 1
+            step = starts.copy()
+            step[LENGTH:] -= starts[:-LENGTH]
+            gone = (np.cumsum(step, dtype=np.int8) > 0) | np.repeat(whole, size)
+            # runs end with their text
+            opens, closes = gone.copy(), gone.copy()
+            opens[1:] &= ~gone[:-1]
+            closes[:-1] &= ~gone[1:]
+            some = np.flatnonzero(size)
+            opens[edges[some]] = gone[edges[some]]
+            closes[edges[some + 1] - 1] = gone[edges[some + 1] - 1]
+            start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+            spans = np.searchsorted(start, edges)
+            base = np.repeat(edges[:-1], np.diff(spans))
+            pairs = pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], names=["start", "end"])
+            left = np.r_[0, np.cumsum(~gone)][edges].astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(left.tobytes()), pa.py_buffer(raw[~gone].tobytes())])
+            removed = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(ID).slice(first, n), pa.array(size, pa.int64()), removed.cast(_SPANS), kept], schema=_CLEANED_ARROW)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
