@@ -594,6 +594,35 @@ def test_near_duplicates_judge_texts_of_one_id_apart(spark):
     assert left == sorted([("a1", a), ("a1", other), ("e", None), ("e", None)], key=str)
 
 
+def test_written_tables_are_counted_without_a_job(spark):
+    work = near_duplicates.Scratch(spark, "counts")
+    some, none = work.put(spark.range(7).repartition(3), "some"), work.put(spark.range(7).filter("id < 0"), "none")
+    group, jobs = "counting", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert (work.count(some), work.count(none)) == (7, 0) == (some.filter("true").count(), 0)
+        made = len(jobs.getJobIdsForGroup(group))
+        assert (work.count(some), work.count(none)) == (7, 0)
+        assert len(jobs.getJobIdsForGroup(group)) == made
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_mixed_nodes_of_few_and_of_many_rows(spark, monkeypatch):
+    """Few rows meet once, by node; many take the way that deals heavy nodes to parts. Both find the same."""
+    rows = [(n, a, a % c) for n, size, c in ((1, 5, 1), (2, 6, 2), (-3, 1, 1), (2**60, 9, 4)) for a in range(size)]
+    df = spark.createDataFrame(rows, "node long, a long, c long").repartition(3)
+    few = near_duplicates._mixed(df, len(rows))
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(near_duplicates, "MANY", 0)
+    many = near_duplicates._mixed(df, len(rows))
+    names = ["node", "a", "c", "size", "centre"]
+    assert few.columns == names
+    got = sorted(map(tuple, few.collect()))
+    assert got == sorted(map(tuple, many.select(names).collect()))
+    assert {(r[0], r[3]) for r in got} == {(2, 6), (2**60, 9)}
+
+
 def test_components_of_few_and_of_many_links(spark, monkeypatch):
     """A long chain, a star, a ring and repeated links: one task and rounds of joins give the same components."""
     links = [(i + 1, i) for i in range(60)] + [(100, 200 + i) for i in range(40)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(-5, -7), (-5, -7), (400, 400)]

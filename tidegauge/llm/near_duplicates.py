@@ -34,6 +34,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.functions.spread import spread_join
 from tidegauge.llm.common import ID, Scratch, append, lean, map_texts, mix, shingle_hashes, text_key, text_of, token_hashes
@@ -120,16 +121,19 @@ def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 def _mixed(rows: DataFrame, n: int) -> DataFrame:
     """(node, a, c, size, centre) of nodes with documents of several components; ``rows`` has node, a and c.
 
-    ``n`` is a bound of the number of rows; of many, those of heavy nodes are dealt to parts.
+    ``n`` is a bound of the number of rows; of many, those of heavy nodes are dealt to parts. Fewer meet once, by node.
 
     The centre is the smallest number after mixing it with the node's own key, so that a document is not the centre of
     all the nodes it is in.
     """
     own = F.col("a").bitwiseXOR(F.col("node"))
+    if n <= MANY:
+        node = Window.partitionBy("node")
+        centre = F.min(own).over(node).bitwiseXOR(F.col("node"))
+        wide = rows.select("node", "a", "c", F.count("*").over(node).alias("size"), centre.alias("centre"), F.min("c").over(node).alias("lo"), F.max("c").over(node).alias("hi"))
+        return wide.filter("lo != hi").drop("lo", "hi")
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(own).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
     nodes = nodes.select("node", "n", F.col("n").alias("size"), F.col("m").bitwiseXOR(F.col("node")).alias("centre"))
-    if n <= MANY:
-        return rows.join(nodes.drop("n"), "node")
     return spread_join(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", "n"))
 
 
@@ -198,7 +202,10 @@ class _Join:
         y = self.sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-        both = _looked_up(pairs, y, "b").join(x, "a").filter(fits).select("a", "b", same.alias("same")).filter(F.col("same") >= AGREE)
+        n = self.work.count(pairs)
+        # a few rows go to the sets, which stay where they are
+        half = F.broadcast(y.join(F.broadcast(pairs), "b")) if n <= FEW else _looked_up(pairs, y, "b", n=n)
+        both = half.join(x, "a").filter(fits).select("a", "b", same.alias("same")).filter(F.col("same") >= AGREE)
         likely = self.work.put(both, "likely")
         self.work.drop(pairs)
         return likely
@@ -239,7 +246,7 @@ class _Join:
         self.load(pairs, n)
         there = _looked_up(pairs.select("a", "b"), self.full.select(F.col("a").alias("b"), F.col("s").alias("t")), "b", n=n)
         links = self.work.put(map_texts(there.join(self.full, "a").select("a", "b", "s", "t"), run, "a long, b long"), "links")
-        found = links.count()
+        found = self.work.count(links)
         if found:
             self.merge(links, found)
         self.work.drop(links)
@@ -254,7 +261,7 @@ class _Join:
         one = _looked_up(links, base.select(F.col("a").alias("b"), F.col("c").alias("d")), "b", n=n).join(base, "a")
         found, written = components(one.select(F.col("c").alias("a"), F.col("d").alias("b")), self.work, n)
         raised = found.select(F.col("a").alias("c"), F.col("c").alias("e"))
-        comp = self.work.put(_looked_up(base, raised, "c", "left").select("a", F.coalesce("e", "c").alias("c")), "components")
+        comp = self.work.put(_looked_up(base, raised, "c", "left", n=self.work.count(base)).select("a", F.coalesce("e", "c").alias("c")), "components")
         self.work.drop(base, written, self.comp)
         self.comp = comp
 
@@ -269,13 +276,13 @@ class _Join:
     def compare(self, pairs: DataFrame) -> None:
         """Link the pairs: of many first the likeliest partner of each document, then whatever is still apart."""
         likely = self.agreeing(pairs)
-        n = likely.count()
+        n = self.work.count(likely)
         if n > FEW:
             best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
             self.confirm(best, n)
             rest = self.work.put(self.apart(likely, n).join(best, ["a", "b"], "left_anti"), "rest")
             self.work.drop(likely, best)
-            likely, n = rest, rest.count()
+            likely, n = rest, self.work.count(rest)
         self.confirm(likely, n)
         self.work.drop(likely)
 
@@ -285,7 +292,7 @@ class _Join:
         rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first, end), self.comp), n), "nodes")
         left, level = None, 0
         while True:
-            n = rows.count()
+            n = self.work.count(rows)
             # the centres of this level, and all pairs of the small nodes that the level above left
             others = rows.filter(F.col("a") != F.col("centre"))
             pairs = self.apart(others.select("a", F.col("centre").alias("b")), n)
@@ -296,7 +303,7 @@ class _Join:
             after = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp), n).drop("centre"), "left")
             self.work.drop(rows, left)
             left = after
-            n = left.count()
+            n = self.work.count(left)
             if n == 0:
                 break
             level += 1
@@ -323,7 +330,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     # a set's own rank is in its row, so the smallest row of a component needs no other look at the documents
     marked = _labelled(sets.select("a", "n", "fp1", "fp2", rank.alias("r")), join.comp)
     least = marked.groupBy("c").agg(F.min("r").alias("least"))
-    of_set = work.put(_looked_up(marked.select("n", "fp1", "fp2", "c"), least, "c").select("n", "fp1", "fp2", "least"), "classes")
+    of_set = work.put(_looked_up(marked.select("n", "fp1", "fp2", "c"), least, "c", n=join.size).select("n", "fp1", "fp2", "least"), "classes")
     # one set may be that of a third of all rows
     joined = spread_join(rows.withColumnRenamed("n", "words"), of_set.withColumnRenamed("n", "words"), ["words", "fp1", "fp2"], "left").withColumnRenamed("words", "n")
     component = F.when(F.col("n") == 0, F.col(ID)).otherwise(F.col("least.id"))
