@@ -8,8 +8,10 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from tidegauge.functions import spread
 from tidegauge.functions.spread import heavy_keys, spread_join
 from tidegauge.operators import alerts, calibrate, events, model, split
+from tidegauge.plans import data
 
 BASE = datetime(2020, 1, 1)
 
@@ -140,3 +142,22 @@ def test_importance_plan_does_not_grow_with_the_square_of_features(spark):
         assert out.first()["feature"] == "f0" and out.count() == k
         sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
     assert sizes[1] < 3 * sizes[0]
+
+
+def test_maxima_are_merged_in_even_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"a": np.where(rng.random(6000) < 0.3, 0, rng.integers(0, 4000, 6000)), "b": rng.integers(0, 2, 6000), "v": rng.random(6000)})
+    df = spark.createDataFrame(rows).select(F.when(F.col("a") != 7, F.col("a")).alias("a"), "b", F.when(F.col("v") > 0.1, F.col("v")).alias("v"))
+    monkeypatch.setattr(spread, "TASK_ROWS", 200)
+    n = spread.even_tasks(df)
+    assert n == 30
+    got = spread.merged_maxima(df, ["a", "b"], ["v"], n)
+    want = df.groupBy("a", "b").agg(F.max("v").alias("v"))
+    key = lambda r: str((r.a, r.b))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert got.rdd.getNumPartitions() == n
+
+
+def test_scored_rows_are_dealt_before_they_are_merged(spark, sf):
+    plan = data.scored(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.rindex("HashAggregate") :]
