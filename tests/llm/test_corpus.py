@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -634,6 +635,46 @@ def test_components_of_few_and_of_many_links(spark, monkeypatch):
         assert {r.a: r.c for r in near_duplicates.components(df, work, len(links))[0].collect()} == want
 
 
+def test_small_nodes_are_linked_on_full_sets():
+    """Links of nodes that are cut over batches give the components of all pairs at the threshold."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for node in range(-3, 4):
+        base = rng.choice(2**62, 60, replace=False).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 60), replace=False), rng.choice(2**62, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(25)]
+        comp = {a: a for a in range(25)} | {3: 1}
+        for a in range(25):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    lo, hi = sorted((comp[a], comp[b]))
+                    comp = {k: lo if v == hi else v for k, v in comp.items()}
+        want[node] = comp
+        rows += [(node, a + 100 * node, (1 if a == 3 else a) + 100 * node, sets[a].tobytes()) for a in range(25)]
+    for size in (1, 7, 25, 60, 1000):
+        batches = [pa.table(dict(zip("node a c s".split(), map(list, zip(*rows[i : i + size]))))) for i in range(0, len(rows), size)]
+        links = [p for out in near_duplicates._within(iter([{n: b.column(n).combine_chunks() for n in b.column_names} for b in batches])) for p in zip(out["a"], out["b"])]
+        for node, comp in want.items():
+            got = {a: a for a in range(25)} | {3: 1}
+            for a, b in links:
+                if a // 100 == node:
+                    lo, hi = sorted((got[a % 100], got[b % 100]))
+                    assert lo != hi  # a forest
+                    got = {k: lo if v == hi else v for k, v in got.items()}
+            groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+            assert groups(got) == groups(comp)
+
+
+def test_a_crowd_below_the_threshold_takes_few_steps(spark, monkeypatch):
+    """Documents that share half their words met level after level; as one small node they are compared in one step."""
+    common = " ".join(f"c{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{common} " + " ".join(f"w{i}x{j}" for j in range(18 + i % 3))) for i in range(150)], "doc_id long, text string")
+    steps, put = [], near_duplicates.Scratch.put
+    monkeypatch.setattr(near_duplicates.Scratch, "put", lambda self, df, name: steps.append(name) or put(self, df, name))
+    assert sum(r.kept for r in near_duplicates.classes(docs).collect()) == 150
+    assert len(steps) < 20, steps
+
+
 def test_personal_data_learns_from_all_candidates(spark, monkeypatch):
     text = " ".join(f"mail a{i}@site{i}.org" for i in range(700)) + " " + " ".join(f"host 10.0.{i}.999" for i in range(100))
     docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("x "), F.lit(text)).alias("text"))

@@ -5,14 +5,14 @@ fixed number of minwise tokens for each set. Equal sets are merged first; what f
 a number of its own, for each distinct set.
 
 Every independent tree starts as one node that branches by three coordinates of the tree; trees share no coordinate.
-All documents of a node are compared with its centre. A node whose documents are then in several components still is
-compared exhaustively if it is small; a larger one branches into four children by four coordinates each, which the
-node's own path selects, without the centre, whose comparisons are done. Two sets at the threshold survive 1.27 of the
+A small node is compared exhaustively on the full sets, in one task, which returns a forest of links. All documents of a
+larger one are compared with its centre; if they are in several components then, it branches into four children by four
+coordinates each, which the node's own path selects, without the centre, whose comparisons are done. Two sets at the threshold survive 1.27 of the
 four branches on average; sets far below it leave 0.25 at similarity 0.5. A node loses its centre at every level, so
 branching ends by itself: nothing is capped or dropped. Trees run in groups; links are merged after every level, and
 nodes of one component are closed, so that later groups only see what is still apart.
 
-Compared means: the minwise tokens estimate the similarity, and pairs that are far below the threshold stop there
+Compared with a centre means: the minwise tokens estimate the similarity, and pairs that are far below the threshold stop there
 (chance of losing a true pair below 1e-6); the others are confirmed on the full sets, first the likeliest partner of each
 document, then those whose documents are not linked by then.
 
@@ -49,9 +49,11 @@ GROUPS = ((0, 8), (8, TREES))
 START = 3
 CHILDREN = 4
 DEEPER = 4
-SMALL = 64
-#: Up to so many likely pairs are confirmed in one step; the components of up to so many links are found in one task.
-FEW = 20_000
+SMALL = 1000
+#: Up to so many likely pairs are confirmed in one step.
+FEW_PAIRS = 20_000
+#: The components of up to so many links are found in one task.
+FEW = 200_000
 #: Ids that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Joins of more rows than this deal heavy keys to parts; Spark broadcasts the other side of smaller ones.
@@ -137,11 +139,61 @@ def _mixed(rows: DataFrame, n: int) -> DataFrame:
     return spread_join(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", "n"))
 
 
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in nodes of at most ``SMALL`` documents."""
-    members = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("a", "c"))).alias("m"))
-    later = lambda x, i: F.transform(F.filter(F.col("m"), lambda y: (y["a"] > x["a"]) & (y["c"] != x["c"])), lambda y: F.struct(x["a"].alias("a"), y["a"].alias("b")))
-    return members.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*")
+def _node_links(a: np.ndarray, c: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of a node that reach the threshold on their full sets and join what was still apart: a forest of them."""
+    order = np.lexsort((a, [len(s) for s in sets]))
+    a, sets = a[order], [sets[i] for i in order]
+    label = np.unique(c[order], return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = count[shingle] > 1
+    at = np.concatenate([[0], np.cumsum(np.add.reduceat(shared, np.cumsum(size) - size, dtype=np.int64))])
+    shingle = shingle[shared]
+    mark = np.zeros(len(count), dtype=bool)
+    last = np.searchsorted(size, size * 100 // PERCENT, side="right")
+    links = []
+    for i in range(len(a) - 1):
+        hi = last[i]
+        if (label[i + 1 : hi] == label[i]).all():
+            continue
+        own = shingle[at[i] : at[i + 1]]
+        mark[own] = True
+        found = np.concatenate([[0], np.cumsum(mark[shingle[at[i + 1] : at[hi]]])])
+        mark[own] = False
+        both = np.diff(found[at[i + 1 : hi + 1] - at[i + 1]])
+        for j in i + 1 + np.flatnonzero(100 * both >= PERCENT * (size[i] + size[i + 1 : hi] - both)):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((a[i], a[j]))
+    return links
+
+
+def _within(batches):
+    """(a, b): the links of nodes whose rows (node, a, c, s) follow each other."""
+    kept: list = []
+
+    def of(rows: list) -> list:
+        node, a, c, s = (np.concatenate([r[k] for r in rows]) if k < 3 else [x for r in rows for x in r[k]] for k in range(4))
+        cuts = [0, *(np.flatnonzero(np.diff(node)) + 1), len(node)]
+        return [p for lo, hi in zip(cuts, cuts[1:]) for p in _node_links(a[lo:hi], c[lo:hi], s[lo:hi])]
+
+    for b in batches:
+        node, a, c = (np.asarray(b[k]) for k in ("node", "a", "c"))
+        s = [np.frombuffer(x, dtype=np.uint64) for x in b["s"].to_pylist()]
+        if not len(node):
+            continue
+        # the last node may go on in the next batch
+        cut = int(np.searchsorted(node, node[-1]))
+        done = []
+        if kept and (cut or node[0] != kept[-1][0][-1]):
+            done, kept = of([*kept, (node[:cut], a[:cut], c[:cut], s[:cut])]), []
+        elif cut:
+            done = of([(node[:cut], a[:cut], c[:cut], s[:cut])])
+        kept.append((node[cut:], a[cut:], c[cut:], s[cut:]))
+        yield {"a": [p for p, _ in done], "b": [q for _, q in done]}
+    if kept:
+        done = of(kept)
+        yield {"a": [p for p, _ in done], "b": [q for _, q in done]}
 
 
 def _united(batches):
@@ -204,15 +256,15 @@ class _Join:
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
         n = self.work.count(pairs)
         # a few rows go to the sets, which stay where they are
-        half = F.broadcast(y.join(F.broadcast(pairs), "b")) if n <= FEW else _looked_up(pairs, y, "b", n=n)
+        half = F.broadcast(y.join(F.broadcast(pairs), "b")) if n <= FEW_PAIRS else _looked_up(pairs, y, "b", n=n)
         both = half.join(x, "a").filter(fits).select("a", "b", same.alias("same")).filter(F.col("same") >= AGREE)
         likely = self.work.put(both, "likely")
         self.work.drop(pairs)
         return likely
 
-    def load(self, pairs: DataFrame, n: int) -> None:
-        """Make the full sets of all ends of the ``n`` pairs from their whole texts, but for those that are there already."""
-        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    def load(self, wanted: DataFrame, n: int) -> None:
+        """Make the full sets of the at most ``n`` numbers a from their whole texts, but for those that are there already."""
+        wanted = wanted.distinct()
         if self.full is not None:
             wanted = wanted.join(self.full.select("a"), "a", "left_anti")
         wanted = self.sets.select("a", F.col(ID).alias("__id"), F.col("key").alias("__key")).join(wanted, "a")
@@ -221,7 +273,7 @@ class _Join:
             for b in batches:
                 yield {"a": b["a"], "s": [shingle_hashes(token_hashes(t or ""), SHINGLE).tobytes() for t in b["text"].to_pylist()]}
 
-        few = F.broadcast(wanted) if 2 * n <= MAX_BROADCAST else wanted
+        few = F.broadcast(wanted) if n <= MAX_BROADCAST else wanted
         rows = lean(self.docs, ID, "text").withColumn("key", text_key())
         texts = rows.join(few, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("a", text_of().alias("text"))
         if self.repeats:
@@ -243,7 +295,7 @@ class _Join:
 
         if n == 0:
             return
-        self.load(pairs, n)
+        self.load(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), 2 * n)
         there = _looked_up(pairs.select("a", "b"), self.full.select(F.col("a").alias("b"), F.col("s").alias("t")), "b", n=n)
         links = self.work.put(map_texts(there.join(self.full, "a").select("a", "b", "s", "t"), run, "a long, b long"), "links")
         found = self.work.count(links)
@@ -277,7 +329,7 @@ class _Join:
         """Link the pairs: of many first the likeliest partner of each document, then whatever is still apart."""
         likely = self.agreeing(pairs)
         n = self.work.count(likely)
-        if n > FEW:
+        if n > FEW_PAIRS:
             best = self.work.put(likely.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "best")
             self.confirm(best, n)
             rest = self.work.put(self.apart(likely, n).join(best, ["a", "b"], "left_anti"), "rest")
@@ -286,30 +338,39 @@ class _Join:
         self.confirm(likely, n)
         self.work.drop(likely)
 
+    def within(self, rows: DataFrame, n: int) -> None:
+        """Compare all documents of small nodes on their full sets; ``rows`` (node, a, c) are at most ``n``."""
+        self.load(rows.select("a"), n)
+        there = rows.select("node", "a", "c").join(self.full, "a").select("node", "a", "c", "s")
+        links = map_texts(there.repartition("node").sortWithinPartitions("node"), _within, "a long, b long")
+        links = self.work.put(links.distinct(), "links")
+        found = self.work.count(links)
+        if found:
+            self.merge(links, found)
+        self.work.drop(links)
+
     def run_trees(self, first: int, end: int) -> None:
         """One group of trees, level by level, until no node has documents of several components."""
         n = self.size * (end - first)
         rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first, end), self.comp), n), "nodes")
-        left, level = None, 0
-        while True:
+        level = 0
+        while self.work.count(rows):
             n = self.work.count(rows)
-            # the centres of this level, and all pairs of the small nodes that the level above left
-            others = rows.filter(F.col("a") != F.col("centre"))
-            pairs = self.apart(others.select("a", F.col("centre").alias("b")), n)
-            if left is not None:
-                pairs = pairs.unionByName(_pairs_within(left.filter(F.col("size") <= SMALL)))
-            self.compare(pairs)
-            # a centre has met all others of its node, so what is left of a node are those others
-            after = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp), n).drop("centre"), "left")
-            self.work.drop(rows, left)
-            left = after
-            n = self.work.count(left)
-            if n == 0:
+            self.within(rows.filter(F.col("size") <= SMALL), n)
+            crowded = rows.filter(F.col("size") > SMALL)
+            if crowded.isEmpty():
                 break
+            others = crowded.filter(F.col("a") != F.col("centre"))
+            self.compare(self.apart(others.select("a", F.col("centre").alias("b")), n))
+            # a centre has met all others of its node, so what is left of a node are those others
+            left = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp), n), "left")
+            self.work.drop(rows)
             level += 1
-            crowded = left.filter(F.col("size") > SMALL)
-            rows = self.work.put(_mixed(_labelled(_children(crowded, self.sets, level), self.comp), n * CHILDREN), "nodes")
-        self.work.drop(left)
+            children = _children(left.filter(F.col("size") > SMALL), self.sets, level)
+            small = left.filter(F.col("size") <= SMALL).select("a", "node")
+            rows = self.work.put(_mixed(_labelled(children.unionByName(small), self.comp), self.work.count(left) * CHILDREN), "nodes")
+            self.work.drop(left)
+        self.work.drop(rows)
 
 
 def _classified(docs: DataFrame) -> DataFrame:
