@@ -682,3 +682,37 @@ def test_personal_data_learns_from_all_candidates(spark, monkeypatch):
     monkeypatch.setattr(personal_data, "stored", lambda df, name: sizes.append(keep(df, name)) or sizes[-1])
     assert personal_data.fit(personal_data.candidates(docs)) is not None
     assert sizes[0].count() == 30 * 800
+
+
+def test_members_of_nodes_are_made_once(spark, monkeypatch):
+    """Many rows of nodes, and few: no step repeats the pass over the sets that deals them to their trees."""
+    sets = spark.createDataFrame([(a, 1, [a // 2 % 5] * near_duplicates.COORDINATES) for a in range(20)], "a long, copies long, sig array<int>").repartition(2)
+    put, found = near_duplicates.Scratch.put, []
+    for many in (10**6, 0):
+        plans = []
+        with monkeypatch.context() as m:
+            m.setattr(near_duplicates, "MANY", many)
+            m.setattr(near_duplicates.Scratch, "put", lambda self, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(self, df, name))
+            join = near_duplicates._Join(sets, sets, near_duplicates.Scratch(spark, "once"))
+            nodes, crowded = join.mixed(near_duplicates._first_nodes(sets, 0, 3), 60, "nodes")
+            assert sum(p.count("Generate explode(transform(") for p in plans) == 1
+        found.append(sorted(map(tuple, nodes.select("node", "a", "c", "size", "centre").collect())))
+        assert crowded == 0 and len(found[-1]) == 60
+    assert found[0] == found[1]
+
+
+def test_few_links_are_merged_in_one_step(spark, monkeypatch):
+    """Steps of few links wrote three tables each; they add the same components as steps of many."""
+    steps, put = [], near_duplicates.Scratch.put
+    monkeypatch.setattr(near_duplicates.Scratch, "put", lambda self, df, name: steps.append(name) or put(self, df, name))
+    sets = spark.createDataFrame([(i, 1) for i in range(9)], "a long, copies long")
+    rounds = [[(5, 4), (4, 3), (5, 3)], [(8, 7)], [(3, 8), (2, 2)]]
+    want = [{3: 3, 4: 3, 5: 3}, {3: 3, 4: 3, 5: 3, 7: 7, 8: 7}, {2: 2, 3: 3, 4: 3, 5: 3, 7: 3, 8: 3}]
+    for few in (100, 0):
+        monkeypatch.setattr(near_duplicates, "FEW", few)
+        join = near_duplicates._Join(sets, sets, near_duplicates.Scratch(spark, "merge"))
+        for links, comp in zip(rounds, want):
+            steps.clear()
+            join.merge(spark.createDataFrame(links, "a long, b long").repartition(3), len(links))
+            assert {r.a: r.c for r in join.comp.collect()} == comp
+            assert not few or steps == ["components"]

@@ -32,7 +32,7 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +54,9 @@ SMALL = 1000
 FEW_PAIRS = 20_000
 #: The components of up to so many links are found in one task.
 FEW = 200_000
+#: Rows of a small step that one task takes, about, and full sets of small nodes; a step never has fewer tasks than run at once.
+TASK_ROWS = 20_000
+TASK_SETS = 2_000
 #: Ids that are broadcast to pick texts out of the documents; with more, documents are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Joins of more rows than this deal heavy keys to parts; Spark broadcasts the other side of smaller ones.
@@ -277,7 +280,7 @@ class _Join:
         rows = lean(self.docs, ID, "text").withColumn("key", text_key())
         texts = rows.join(few, F.col(ID).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("a", text_of().alias("text"))
         if self.repeats:
-            texts = texts.dropDuplicates(["a"])
+            texts = texts.dropDuplicates(["a"]).coalesce(self.tasks(n, TASK_SETS))
         part = self.work.put(map_texts(texts, run, "a long, s binary"), "full")
         self.full = part if self.full is None else self.full.unionByName(part)
 
@@ -304,7 +307,17 @@ class _Join:
         self.work.drop(links)
 
     def merge(self, links: DataFrame, n: int) -> None:
-        """Add ``n`` links to the components: the graph of this step has one vertex for each component so far."""
+        """Add ``n`` links to the components: the graph of this step has one vertex for each component so far.
+
+        Few links and components are united in one task, where a component is the links to its smallest number.
+        """
+        if n + (0 if self.comp is None else self.work.count(self.comp)) <= FEW:
+            links = links.select("a", "b")
+            both = links if self.comp is None else links.unionByName(self.comp.select("a", F.col("c").alias("b")))
+            comp = self.work.put(map_texts(both.coalesce(1), _united, "a long, c long"), "components")
+            self.work.drop(self.comp)
+            self.comp = comp
+            return
         ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
         base = ends.withColumn("c", F.col("a"))
         if self.comp is not None:
@@ -342,33 +355,51 @@ class _Join:
         """Compare all documents of small nodes on their full sets; ``rows`` (node, a, c) are at most ``n``."""
         self.load(rows.select("a"), n)
         there = rows.select("node", "a", "c").join(self.full, "a").select("node", "a", "c", "s")
-        links = map_texts(there.repartition("node").sortWithinPartitions("node"), _within, "a long, b long")
-        links = self.work.put(links.distinct(), "links")
+        there = there.repartition("node").coalesce(self.tasks(n, TASK_SETS)).sortWithinPartitions("node")
+        links = map_texts(there, _within, "a long, b long")
+        # trees may find a link again, which only matters to many
+        links = self.work.put(links if n <= MANY else links.distinct(), "links")
         found = self.work.count(links)
         if found:
             self.merge(links, found)
         self.work.drop(links)
 
+    def tasks(self, n: int, each: int) -> int:
+        """Tasks for ``n`` rows of a small step; its time is else that of starting one for each shuffle partition."""
+        return max(self.docs.sparkSession.sparkContext.defaultParallelism, -(-n // each))
+
+    def mixed(self, rows: DataFrame, n: int, name: str) -> tuple[DataFrame, int]:
+        """The table of ``_mixed`` nodes of the at most ``n`` rows (node, a), and its number of rows in crowded nodes.
+
+        Many rows are written before they are read for their nodes and again by these, so that none is made twice.
+        """
+        rows, seen = _labelled(rows, self.comp), Observation()
+        crowded = F.count(F.when(F.col("size") > SMALL, True)).alias("crowded")
+        members = self.work.put(rows, "members") if n > MANY else None
+        found = _mixed(rows if members is None else members, n)
+        found = found.coalesce(self.tasks(n, TASK_ROWS)) if members is None else found
+        table = self.work.put(found.observe(seen, crowded), name)
+        self.work.drop(members)
+        many = seen.get.get("crowded")
+        return table, table.filter(F.col("size") > SMALL).count() if many is None else many
+
     def run_trees(self, first: int, end: int) -> None:
         """One group of trees, level by level, until no node has documents of several components."""
-        n = self.size * (end - first)
-        rows = self.work.put(_mixed(_labelled(_first_nodes(self.sets, first, end), self.comp), n), "nodes")
+        rows, many = self.mixed(_first_nodes(self.sets, first, end), self.size * (end - first), "nodes")
         level = 0
-        while self.work.count(rows):
-            n = self.work.count(rows)
+        while n := self.work.count(rows):
             self.within(rows.filter(F.col("size") <= SMALL), n)
-            crowded = rows.filter(F.col("size") > SMALL)
-            if crowded.isEmpty():
+            if not many:
                 break
-            others = crowded.filter(F.col("a") != F.col("centre"))
+            others = rows.filter((F.col("size") > SMALL) & (F.col("a") != F.col("centre")))
             self.compare(self.apart(others.select("a", F.col("centre").alias("b")), n))
             # a centre has met all others of its node, so what is left of a node are those others
-            left = self.work.put(_mixed(_labelled(others.select("node", "a"), self.comp), n), "left")
+            left, _ = self.mixed(others.select("node", "a"), n, "left")
             self.work.drop(rows)
             level += 1
             children = _children(left.filter(F.col("size") > SMALL), self.sets, level)
             small = left.filter(F.col("size") <= SMALL).select("a", "node")
-            rows = self.work.put(_mixed(_labelled(children.unionByName(small), self.comp), self.work.count(left) * CHILDREN), "nodes")
+            rows, many = self.mixed(children.unionByName(small), self.work.count(left) * CHILDREN, "nodes")
             self.work.drop(left)
         self.work.drop(rows)
 
