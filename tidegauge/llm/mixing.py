@@ -97,7 +97,9 @@ def schedule(named: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     while True:
         points = spark.range(1, last + 1, numPartitions=parts).withColumnRenamed("id", "i")
         points = points.withColumn("cell", F.least(F.floor(golden_point(F.col("i")) * n), F.lit(n - 1)).cast("long"))
-        placed = points.join(cells, "cell").withColumn("bucket", F.floor(F.col("i") / _SLOTS_PER_BUCKET))
+        # cells are as many as blocks, but come from the few rows of open_: left to sizes, they would go through the driver
+        placed = points.join(cells.hint("merge"), "cell").withColumn("bucket", F.floor(F.col("i") / _SLOTS_PER_BUCKET))
+        placed = stored(placed.select("i", "bucket", "source_no", "quota", "n_blocks"), "placed")
         reached = placed.groupBy("source_no", "n_blocks").agg(F.count("*").alias("hits")).filter("hits >= n_blocks").count() if n else 0
         if reached == open_.count():
             break
